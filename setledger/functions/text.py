@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 # Unicode white space as text tools outside the JVM see it; Java's \s alone covers ASCII only.
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+# Characters that end a line, besides the pair CR LF.
+BREAK_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def coerce_text(c: Column) -> Column:
@@ -42,15 +43,23 @@ def token_set(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
+    """Words between white space. Mapping every space character to a blank and splitting on it is
+    several times faster than splitting on a character class."""
+    return F.array_remove(F.split(F.translate(c, SPACE_CHARS, " " * len(SPACE_CHARS)), " "), "")
 
 
-def lines(c: Column) -> Column:
-    return F.split(c, LINE_BREAK)
+def unify_breaks(c: Column) -> Column:
+    """Every line end as one newline."""
+    return F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), BREAK_CHARS, "\n" * len(BREAK_CHARS))
+
+
+def squeeze(c: Column) -> Column:
+    """White space runs as one blank, none at the ends."""
+    return F.array_join(words(c), " ")
 
 
 def excerpt(c: Column, chars: int) -> Column:
-    return F.substring(F.trim(F.regexp_replace(c, f"{SPACE}+", " ")), 1, chars)
+    return F.substring(squeeze(c), 1, chars)
 
 
 def join_authors(c: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from setledger.functions.text import lines, strip, words
+from setledger.functions.text import strip, unify_breaks, words
 from setledger.functions.vocabulary import CHUNK_OVERLAP, CHUNK_WORDS
 from setledger.operators.ordering import ranked
 from setledger.schemas import DOCUMENT_FIELDS
@@ -15,10 +15,20 @@ ERROR_PREFIX = "[ERROR]"
 _HEADER_LINES = len(DOCUMENT_FIELDS) + 1
 
 
+def keep_computed(df: DataFrame, name: str, value: Column, test: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with column ``name`` and only the rows whose value passes ``test``.
+
+    A plain filter on a computed column is pushed below the projection and computes the value a
+    second time; on long texts that is most of the cost. Exploding a filtered one-element array
+    computes it once.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.filter(F.array(value), test)).alias(name))
+
+
 def usable_text(df: DataFrame, column: str = "raw_text") -> DataFrame:
     """Stripped text, without empty documents and error placeholders."""
-    text = strip(F.col(column))
-    return df.withColumn(column, text).filter((F.col(column) != "") & ~F.col(column).startswith(ERROR_PREFIX))
+    return keep_computed(df, column, strip(F.col(column)), lambda t: (t != "") & ~t.startswith(ERROR_PREFIX))
 
 
 def parse_header(df: DataFrame, column: str = "raw_text") -> DataFrame:
@@ -28,19 +38,20 @@ def parse_header(df: DataFrame, column: str = "raw_text") -> DataFrame:
     is dropped unseen. Otherwise the whole text is the body, and the fields read before the first
     wrong line stay filled.
     """
-    docs = usable_text(df, column).withColumn("_lines", lines(F.col(column)))
-    long_enough = F.size("_lines") >= _HEADER_LINES
-    good: Column = long_enough
+    # six lines and the rest of the text as a seventh element
+    split = F.split(unify_breaks(F.col(column)), "\n", _HEADER_LINES + 1)
+    docs = usable_text(df, column).withColumn("_lines", split)
+    good: Column = F.size("_lines") >= _HEADER_LINES
     fields = {}
     for i, name in enumerate(DOCUMENT_FIELDS):
         label = f"{name.upper()}:"
         line = F.get("_lines", F.lit(i))
         good = good & F.coalesce(line.startswith(label), F.lit(False))
         fields[name] = F.when(good, strip(F.substr(line, F.lit(len(label) + 1)))).otherwise("")
-    rest = F.slice("_lines", F.lit(_HEADER_LINES + 1), F.greatest(F.size("_lines") - _HEADER_LINES, F.lit(0)))
-    body = F.when(good, strip(F.array_join(rest, "\n"))).otherwise(F.col(column))
-    parsed = docs.withColumns({**fields, "text": body}).drop("_lines", column)
-    return parsed.filter(F.col("text") != "")
+    rest = F.coalesce(F.get("_lines", F.lit(_HEADER_LINES)), F.lit(""))
+    body = F.when(good, strip(rest)).otherwise(F.col(column))
+    parsed = keep_computed(docs, "text", body, lambda t: t != "")
+    return parsed.withColumns(fields).drop("_lines", column)
 
 
 def document_record(text: Column, **fields: Column) -> Column:
@@ -88,8 +99,6 @@ def running_total(df: DataFrame, order: Sequence[str], amount: str, name: str) -
     Rows are numbered, cut into blocks of consecutive numbers, summed inside each block, and
     shifted by the total of the earlier blocks.
     """
-    from pyspark.sql import Window as W
-
     block = 100_000
     placed = (ranked(df, [], list(order), "_place")
               .withColumn("_block", F.floor((F.col("_place") - 1) / block)))

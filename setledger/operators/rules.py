@@ -31,63 +31,64 @@ UNLOADED_FACTORS = ["no external load logged", "bodyweight or unloaded movement"
 UNLOADED_REASON = "No external load logged, so the baseline keeps weight unchanged."
 
 
-def base_increment(exercise: Column, weight: Column) -> Column:
-    kind = exercise_class(exercise)
+def class_step(kind: Column, weight: Column) -> Column:
     step = F.when(kind == "bodyweight", F.when(weight > 0, PLAIN_STEP).otherwise(0.0))
     for name, (threshold, light, heavy) in STEPS.items():
         step = step.when(kind == name, F.when(weight >= threshold, heavy).otherwise(light))
     return step.otherwise(PLAIN_STEP)
 
 
-def _situation(sets: Column, reps: Column, rpe: Column, rir: Column) -> list[tuple[Column, tuple]]:
-    """Situations in the order they are asked; effort left in reserve outranks perceived effort."""
-    by_rir, by_rpe = rir.isNotNull(), rir.isNull() & rpe.isNotNull()
-    return [
-        (by_rir & (rir <= 0), RIR_NONE),
-        (by_rir & (rir == 1), RIR_ONE),
-        (by_rir & (rir >= 3), RIR_MANY),
-        (by_rir, STANDARD),
-        (by_rpe & (rpe >= 9.5), RPE_MAX),
-        (by_rpe & (rpe >= 8.5), RPE_HARD),
-        (by_rpe & (rpe <= 7), RPE_EASY),
-        (by_rpe, STANDARD),
-        ((reps <= 3) & (sets <= 2), LOW_REP),
-        (reps >= 10, HIGH_REP),
-    ]
+def base_increment(exercise: Column, weight: Column) -> Column:
+    return class_step(exercise_class(exercise), weight)
+
+
+OUTCOMES = [RIR_NONE, RIR_ONE, RIR_MANY, STANDARD, RPE_MAX, RPE_HARD, RPE_EASY, STANDARD, LOW_REP, HIGH_REP,
+            NO_EFFORT]
+
+
+def situation(sets: Column, reps: Column, rpe: Column, rir: Column) -> Column:
+    """Position (from 1) in ``OUTCOMES``; reserve outranks perceived effort."""
+    questions = [rir <= 0, rir == 1, rir >= 3, rir.isNotNull(), rpe >= 9.5, rpe >= 8.5, rpe <= 7, rpe.isNotNull(),
+                 (reps <= 3) & (sets <= 2), reps >= 10]
+    position = F.when(questions[0], 1)
+    for i, question in enumerate(questions[1:], start=2):
+        position = position.when(question, i)
+    return position.otherwise(len(OUTCOMES))
 
 
-def _pick(cases: list[tuple[Column, tuple]], part: int, dtype: str) -> Column:
-    chosen = None
-    for condition, outcome in cases:
-        value = F.lit(outcome[part]).cast(dtype)
-        chosen = F.when(condition, value) if chosen is None else chosen.when(condition, value)
-    return chosen.otherwise(F.lit(NO_EFFORT[part]).cast(dtype))
+def _of_case(part: int) -> Column:
+    return F.element_at(F.array(*[F.lit(o[part]) for o in OUTCOMES]), F.col("_case"))
 
 
 def predict_by_rule(df: DataFrame) -> DataFrame:
-    """Add the prediction columns next to the input row (exercise, sets, reps, weight, rpe, rir)."""
-    weight, sets, reps = F.col("weight"), F.col("sets"), F.col("reps")
-    rpe = known(F.col("rpe").cast("double"))
-    rir = known(F.col("rir").cast("double"))
-    cases = _situation(sets, reps, rpe, rir)
-    unloaded = weight <= 0
-    step = F.when(unloaded, 0.0).otherwise(
-        F.bround(base_increment(F.col("exercise"), weight) * _pick(cases, 0, "double"), 2))
-    effort = (F.when(rir.isNotNull(), F.concat(F.lit("rir="), rir.cast("string")))
-              .when(rpe.isNotNull(), F.concat(F.lit("rpe="), rpe.cast("string")))
-              .otherwise("missing RPE/RIR, using reps/sets fallback"))
-    base_text = F.concat(F.lit("base increment inferred as "),
-                         base_increment(F.col("exercise"), weight).cast("string"))
-    applied = F.concat(F.lit("increment applied="), F.col("recommended_increment").cast("string"))
-    factors = F.array_compact(F.array(base_text, effort, _pick(cases, 1, "string"), applied))
-    return (df.withColumn("recommended_increment", step)
-            .withColumn("predicted_next_weight",
-                        F.when(unloaded, weight).otherwise(F.bround(weight + F.col("recommended_increment"), 2)))
-            .withColumn("top_factors",
-                        F.when(unloaded, F.array(*[F.lit(x) for x in UNLOADED_FACTORS])).otherwise(factors))
-            .withColumn("reason",
-                        F.when(unloaded, UNLOADED_REASON).otherwise(_pick(cases, 2, "string")))
-            .withColumn("model_type", F.lit(MODEL_TYPE)))
+    """Add the prediction columns next to the input row (exercise, sets, reps, weight, rpe, rir).
+
+    Class, situation and step are columns of their own, so each is computed once per row and the
+    generated code stays small.
+    """
+    weight = F.col("weight")
+    efforts = {c: known(F.col(c).cast("double")) for c in ("rpe", "rir")}
+    staged = (df.withColumns({f"_{c}": e for c, e in efforts.items()})
+              .withColumns({"_class": exercise_class(F.col("exercise")),
+                            "_case": situation(F.col("sets"), F.col("reps"), F.col("_rpe"), F.col("_rir"))})
+              .withColumn("_base", class_step(F.col("_class"), weight))
+              .withColumn("_unloaded", weight <= 0)
+              .withColumn("recommended_increment",
+                          F.when(F.col("_unloaded"), 0.0).otherwise(F.bround(F.col("_base") * _of_case(0), 2))))
+    effort = F.coalesce(F.concat(F.lit("rir="), F.col("_rir").cast("string")),
+                        F.concat(F.lit("rpe="), F.col("_rpe").cast("string")),
+                        F.lit("missing RPE/RIR, using reps/sets fallback"))
+    factors = F.array_compact(F.array(
+        F.concat(F.lit("base increment inferred as "), F.col("_base").cast("string")), effort, _of_case(1),
+        F.concat(F.lit("increment applied="), F.col("recommended_increment").cast("string"))))
+    unloaded = F.col("_unloaded")
+    return staged.withColumns({
+        "predicted_next_weight": F.when(unloaded, weight).otherwise(
+            F.bround(weight + F.col("recommended_increment"), 2)),
+        "top_factors": F.when(unloaded, F.array(*[F.lit(x) for x in UNLOADED_FACTORS])).otherwise(factors),
+        "reason": F.when(unloaded, UNLOADED_REASON).otherwise(_of_case(2)),
+        "model_type": F.lit(MODEL_TYPE),
+    }).drop("_rpe", "_rir", "_class", "_case", "_base", "_unloaded")
 
 
 def export_columns(predictions: DataFrame, key: str | None = None) -> DataFrame:

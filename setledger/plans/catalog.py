@@ -230,7 +230,7 @@ def history_features(spark, sf):
 def filled_features(spark, sf):
     """Earlier and later rows stacked with a marker, features together, gaps as zero."""
     rows = A.workouts(spark, sf)
-    cut = F.lit("2024-02-01").cast("date")
+    cut = F.lit("2024-01-20").cast("date")
     both = features.combined_features(rows.filter(F.col("date") < cut), rows.filter(F.col("date") >= cut))
     return show(both.select(*FEATURES, "_dataset").withColumnRenamed("_dataset", "dataset"))
 

@@ -278,7 +278,7 @@ WINDOW w AS (PARTITION BY user_id, exercise ORDER BY logged_at, date, row_id),
        r AS (PARTITION BY user_id, exercise ORDER BY logged_at, date, row_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) """
 add("history_features", f"SELECT row_id, user_id, exercise, {feature_columns(False)} FROM v_lagged ")
 add("filled_features", f"""SELECT row_id, user_id, exercise, {feature_columns(True)},
-  CASE WHEN date < DATE '2024-02-01' THEN 'train' ELSE 'test' END AS dataset FROM v_lagged """)
+  CASE WHEN date < DATE '2024-01-20' THEN 'train' ELSE 'test' END AS dataset FROM v_lagged """)
 _PAST = ", ".join(f"max(CASE WHEN n = {k} THEN p_{c} END) AS previous_{k}_{c}" for k in (1, 2, 3) for c in _EFFORT)
 VIEWS["v_past"] = f"""
 SELECT row_id, {_PAST}, avg(p_weight) AS previous_3_weight_avg, avg(p_reps) AS previous_3_reps_avg, count(*) AS history_count

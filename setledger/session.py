@@ -59,12 +59,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and continue from the written rows (reliable checkpoint).
+    """Write ``df`` once as a table in the shared folder and continue from it.
 
-    Used where two branches must see the same values of a column that depends on the physical
-    layout; survives the loss of executors because the files sit in the shared folder.
+    Used where rows are looked at more than once, or where two branches must see the same values
+    of a column that depends on the physical layout. It cuts the lineage, survives the loss of
+    executors, and later steps read only the columns they need.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
