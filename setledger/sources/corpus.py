@@ -17,7 +17,7 @@ def read_text_corpus(spark: SparkSession, folders: Sequence[str], root: str = ""
     ``source_file`` give the corpus order."""
     parts = None
     for position, folder in enumerate(folders):
-        part = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+        part = (spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
                 .select(F.lit(position).alias("folder"), F.col("_metadata.file_path").alias("path"),
                         F.col("_metadata.file_name").alias("source_name"), drop_bad_bytes(F.col("value")).alias("raw_text")))
         parts = part if parts is None else parts.unionByName(part)
