@@ -525,7 +525,7 @@ _RULE_TEXT = "concat('- Baseline predicts next ', exercise, ': ', CAST(predicted
 def prediction_of(text: str, joins: str = "") -> str:
     return f"""
 SELECT question_id, concat('Prediction context:', chr(10), CASE WHEN NOT {ASKS} THEN {q(coaching.NOT_ASKED)}
-   ELSE coalesce({text}, {q(coaching.NO_TARGET)}) END) AS prediction
+   WHEN exercise IS NULL THEN {q(coaching.NO_TARGET)} ELSE {text} END) AS prediction
 FROM v_questions LEFT JOIN (SELECT question_id, v_ruled.* EXCLUDE (user_id) FROM v_target JOIN v_ruled USING (row_id)) USING (question_id) {joins} """
 
 
@@ -533,7 +533,7 @@ VIEWS["v_prediction"] = prediction_of(_RULE_TEXT)
 add("prediction_block", "SELECT question_id, prediction FROM v_prediction ")
 _NOTE = "chr(10) || '- XGBoost prediction unavailable: no learned prediction for this row'"
 VIEWS["v_routed"] = prediction_of(
-    f"""CASE WHEN coalesce(busy, 0) <= {ROUTER_ROWS} OR exercise IS NULL THEN {_RULE_TEXT} WHEN sets > 2 THEN
+    f"""CASE WHEN coalesce(busy, 0) <= {ROUTER_ROWS} THEN {_RULE_TEXT} WHEN sets > 2 THEN
    concat('- XGBoost predicts next ', exercise, ': ', CAST(round_even(weight * 1.5, 2) AS VARCHAR), ' lb', chr(10), '- Reason: Learned.')
    ELSE {_RULE_TEXT} || {_NOTE} END""",
     "LEFT JOIN (SELECT user_id, count(*) AS busy FROM events GROUP BY user_id) USING (user_id)")
