@@ -215,6 +215,31 @@ def train_rows_per_group(spark, sf):
     return evaluation.train_rows_per_group(learning.with_model_group(train))
 
 
+@query
+def prediction_table_round_trip(spark, sf):
+    """Predictions through a CSV file, then the metrics of what was read."""
+    path = scratch_path(spark, "predictions") + ".csv"
+    split = _split(spark, sf)
+    tables.write_predictions(rules.predict_by_rule(split.filter(F.col("dataset") == "test")), path)
+    return show(evaluation.overall_metrics(evaluation.error_columns(tables.read_predictions(spark, path))))
+
+
+@query
+def rebuilt_user_table(spark, sf):
+    """No stored user table: it is derived from the raw sets, stored, and read strictly."""
+    raw = scratch_path(spark, "sets") + ".csv"
+    tables.write_table(A.text_sets(spark, sf), raw)
+    return show(tables.rebuild_if_missing(spark, scratch_path(spark, "user") + ".csv", raw))
+
+
+@query
+def lenient_log_read(spark, sf):
+    """A stored log without effort columns: they come back as missing."""
+    path = scratch_path(spark, "log") + ".csv"
+    tables.write_table(A.workouts(spark, sf).select("row_id", "exercise", "sets", "weight", "date"), path)
+    return show(tables.read_workouts_lenient(spark, path, keep=["row_id"]))
+
+
 # ---- history features
 
 
@@ -517,6 +542,11 @@ def month_log(spark, sf):
     return show(activity.in_month(A.workouts(spark, sf), 2024, 1).select("row_id", "exercise", "date"))
 
 
+@query
+def log_listing(spark, sf):
+    return show(activity.list_logs(A.workouts(spark, sf)).select("row_id", "date", "logged_at"))
+
+
 @query
 def date_texts(spark, sf):
     rows = A.workouts(spark, sf)

@@ -248,6 +248,11 @@ add("error_histogram", f"""SELECT bin, round_even(min(lo + bin * (hi - lo) / 30)
   FROM v_scored CROSS JOIN (SELECT min(error) AS lo, max(error) AS hi FROM v_scored )) GROUP BY bin""")
 add("prediction_range", """SELECT least(min(actual_next_weight), min(predicted_next_weight)) AS min_weight,
   greatest(max(actual_next_weight), max(predicted_next_weight)) AS max_weight FROM v_scored """)
+add("prediction_table_round_trip", f"SELECT {METRICS} FROM v_scored ")
+add("rebuilt_user_table", session_columns("v_text_sessions"))
+add("lenient_log_read", f"""SELECT row_id, exercise, sets, CAST(NULL AS INT) AS reps, weight, {day('date')} AS date, CAST(NULL AS DOUBLE) AS rpe,
+  CAST(NULL AS DOUBLE) AS rir, CAST(NULL AS VARCHAR) AS logged_at FROM v_workouts """)
+add("log_listing", f"SELECT row_id, {day('date')} AS date, {iso('logged_at')} AS logged_at FROM v_workouts ")
 add("train_rows_per_group", f"""SELECT 'global' AS model_group, count(*) AS train_rows FROM v_one_split WHERE dataset = 'train'
 UNION ALL SELECT g, count(*) FROM (SELECT {MODEL_GROUP} AS g FROM v_one_split WHERE dataset = 'train') WHERE g <> 'global' GROUP BY g""")
 add("routed_groups", f"""SELECT row_id, exercise, CASE WHEN g IN ('upper_compound', 'bodyweight') THEN g ELSE 'global' END AS model_group

@@ -32,8 +32,9 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def _write_batch(df: DataFrame, folder: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch}")
+def _write_batch(df: DataFrame, folder: str, batch: int, by: str | None = None) -> None:
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{folder}/batch_id={batch}")
 
 
 def _earlier(spark: SparkSession, folder: str, schema: T.StructType, batch: int) -> DataFrame:
@@ -79,7 +80,8 @@ def quota_sink(folder: str, limit: int = DAILY_PROMPTS) -> Callable[[DataFrame,
 
     Only the first ``limit`` rows of a user and day within a batch can be accepted, so the
     ranking keeps no more than those of a group in any task. The decision is joined back by the
-    unique event id.
+    unique event id. Accepted rows are stored by day, so counting reads the folders of the
+    batch's days only; the list of days is bounded by the calendar.
     """
     columns = ["event_id", "user_id", "ts", "day", "used"]
 
@@ -87,14 +89,14 @@ def quota_sink(folder: str, limit: int = DAILY_PROMPTS) -> Callable[[DataFrame,
         spark = prompts.sparkSession
         keyed = prompts.withColumn("day", F.to_date("ts")).persist()
         schema = T.StructType([keyed.schema[c] for c in columns[:-1]] + [T.StructField("used", T.LongType())])
-        days = keyed.select("day").distinct()
-        before = (_earlier(spark, f"{folder}/accepted", schema, batch).join(days, "day", "left_semi")
+        days = [r["day"] for r in keyed.select("day").distinct().collect()]
+        before = (_earlier(spark, f"{folder}/accepted", schema, batch).filter(F.col("day").isin(days))
                   .groupBy("user_id", "day").agg(F.count("*").alias("_before")))
         first = W.partitionBy("user_id", "day").orderBy("ts", "event_id")
         candidates = keyed.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit)
         numbered = (candidates.join(before, ["user_id", "day"], "left")
                     .withColumn("used", F.col("_n") + F.coalesce("_before", F.lit(0).cast("bigint"))))
-        _write_batch(numbered.filter(F.col("used") <= limit).select(*columns), f"{folder}/accepted", batch)
+        _write_batch(numbered.filter(F.col("used") <= limit).select(*columns), f"{folder}/accepted", batch, by="day")
         accepted = spark.read.schema(schema).parquet(f"{folder}/accepted/batch_id={batch}").select("event_id")
         turned_away = keyed.join(accepted, "event_id", "left_anti").select(*columns[:-1])
         _write_batch(turned_away, f"{folder}/rejected", batch)
