@@ -66,3 +66,21 @@ LEARNED_MODEL_MIN_ROWS = 500
 TRAIN_RATIO = 0.8
 MIN_GROUP_ROWS = 10
 HISTORY_WINDOW = 3
+
+# Headings and notes of a context text.
+EXCERPTS_HEADING = "Relevant training context:"
+HISTORY_HEADING = "User workout context:"
+PROFILE_HEADING = "User profile context:"
+PREDICTION_HEADING = "Prediction context:"
+NO_EXCERPTS = "No relevant training context yet."
+NO_HISTORY = "- No logged workout history found."
+NO_PROFILE = "- No user profile found."
+EMPTY_PROFILE = "- No usable user profile fields found."
+NOT_ASKED = "- No next-weight prediction requested."
+NO_TARGET = "- I could not find a matching logged exercise to estimate the next weight."
+UNAVAILABLE = "- XGBoost prediction unavailable: "
+INDEX_MISSING = "RAG index unavailable ({})."
+LEARNED_NAME = "XGBoost"
+RULE_NAME = "Baseline"
+PROFILE_LABELS = {"goal": "Goal", "experience_level": "Experience level", "equipment_access": "Equipment access",
+                  "training_frequency": "Training frequency"}

@@ -29,9 +29,9 @@ def coerce_sets(raw: DataFrame, fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
 
 
 def valid_sets(sets: DataFrame) -> DataFrame:
-    """Dated, named, and with a load or at least one repetition."""
+    """Dated, named, and with a load or at least one repetition; names are trimmed already."""
     dated = F.col("set_ts").isNotNull()
-    named = coerce_text(F.col("exercise")) != ""
+    named = F.coalesce("exercise", F.lit("")) != ""
     return sets.filter(dated & named & ((F.col("weight") > 0) | (F.col("reps") > 0)))
 
 

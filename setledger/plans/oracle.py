@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from setledger.functions import vocabulary as V
-from setledger.operators import coaching, rules
+from setledger.operators import rules
 from setledger.plans.catalog import CHAT_TURNS, QUOTA, ROUTER_ROWS, STREAK
 from setledger.schemas import DOCUMENT_FIELDS
 from setledger.sources.fixtures import EXERCISES
@@ -517,7 +517,7 @@ LEFT JOIN (SELECT user_id, string_agg({line('Most recent')}, chr(10) ORDER BY li
 LEFT JOIN (SELECT user_id, string_agg({line('Recent')}, chr(10) ORDER BY place) AS b FROM v_recent GROUP BY user_id) USING (user_id) """
 add("history_block", "SELECT user_id, history FROM v_history ")
 VIEWS["v_profile"] = f"""
-SELECT user_id, CASE WHEN c_custkey IS NULL THEN {q(coaching.NO_PROFILE)} ELSE concat_ws(chr(10), 'User profile context:',
+SELECT user_id, CASE WHEN c_custkey IS NULL THEN concat({q(V.PROFILE_HEADING)}, chr(10), {q(V.NO_PROFILE)}) ELSE concat_ws(chr(10), 'User profile context:',
   CASE WHEN c_custkey % 4 <> 0 THEN concat('- Goal: ', c_mktsegment) END,
   concat('- Experience level: ', CASE c_custkey % 3 WHEN 0 THEN 'Beginner' WHEN 1 THEN 'Intermediate' ELSE 'Advanced' END),
   CASE c_custkey % 3 WHEN 0 THEN '- Equipment access: Barbell, Bands' WHEN 1 THEN '- Equipment access: Dumbbells' END,
@@ -529,8 +529,8 @@ _RULE_TEXT = "concat('- Baseline predicts next ', exercise, ': ', CAST(predicted
 
 def prediction_of(text: str, joins: str = "") -> str:
     return f"""
-SELECT question_id, concat('Prediction context:', chr(10), CASE WHEN NOT {ASKS} THEN {q(coaching.NOT_ASKED)}
-   WHEN exercise IS NULL THEN {q(coaching.NO_TARGET)} ELSE {text} END) AS prediction
+SELECT question_id, concat('Prediction context:', chr(10), CASE WHEN NOT {ASKS} THEN {q(V.NOT_ASKED)}
+   WHEN exercise IS NULL THEN {q(V.NO_TARGET)} ELSE {text} END) AS prediction
 FROM v_questions LEFT JOIN (SELECT question_id, v_ruled.* EXCLUDE (user_id) FROM v_target JOIN v_ruled USING (row_id)) USING (question_id) {joins} """
 
 
@@ -555,7 +555,7 @@ FROM {ranked} GROUP BY query_id """
 VIEWS["v_excerpts"] = excerpt_of("v_ranked")
 VIEWS["v_question_excerpts"] = excerpt_of("v_question_ranked")
 add("excerpt_block", "SELECT query_id, excerpts FROM v_excerpts ")
-add("context_blocks", f"""SELECT question_id, user_id, concat_ws(chr(10) || chr(10), coalesce(excerpts, {q(coaching.NO_EXCERPTS)}), history, profile, prediction) AS context
+add("context_blocks", f"""SELECT question_id, user_id, concat_ws(chr(10) || chr(10), coalesce(excerpts, concat({q(V.EXCERPTS_HEADING)}, chr(10), {q(V.NO_EXCERPTS)})), history, profile, prediction) AS context
 FROM v_questions LEFT JOIN v_question_excerpts ON query_id = question_id LEFT JOIN v_prediction USING (question_id)
 LEFT JOIN v_history USING (user_id) LEFT JOIN v_profile USING (user_id)""")
 

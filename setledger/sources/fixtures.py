@@ -29,7 +29,7 @@ def raw_sets(spark: SparkSession, folder: str) -> DataFrame:
         start_of_week(F.col("l_shipdate")).alias("set_ts"),
         exercise_name(F.col("l_partkey")).alias("exercise"),
         F.col("l_linenumber").alias("set_order"),
-        (F.round(F.col("l_discount") * 100) * 5).alias("weight"),
+        (F.rint(F.col("l_discount") * 100) * 5).alias("weight"),
         (F.col("l_quantity").cast("int") % 13).alias("reps"))
 
 
@@ -39,7 +39,7 @@ def user_sets(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("user_id"),
         start_of_week(F.col("l_shipdate")).alias("set_ts"),
         exercise_name(F.col("l_partkey")).alias("exercise"),
-        (F.round(F.col("l_discount") * 100) * 5).alias("weight"),
+        (F.rint(F.col("l_discount") * 100) * 5).alias("weight"),
         (F.col("l_quantity").cast("int") % 13).alias("reps"))
 
 
@@ -165,7 +165,7 @@ def text_sets(spark: SparkSession, folder: str) -> DataFrame:
         F.when(nameless, "   ").otherwise(F.concat(F.lit(" "), name, F.lit(" "))).alias("Exercise Name"),
         F.col("l_linenumber").cast("string").alias("Set Order"),
         F.when(F.col("l_returnflag") == "R", "5d").otherwise(
-            (F.round(F.col("l_discount") * 100) * 5).cast("string")).alias("Weight"),
+            (F.rint(F.col("l_discount") * 100) * 5).cast("string")).alias("Weight"),
         (F.col("l_quantity").cast("int") % 13).cast("string").alias("Reps"))
 
 

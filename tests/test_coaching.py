@@ -80,9 +80,9 @@ def test_prediction_block(rows, log):
     got = {r.question_id: r.prediction.split("\n", 1)[1] for r in C.prediction_blocks(
         ask(rows, "next weight squat", "hello"), workouts).collect()}
     assert got == {0: "- Baseline predicts next Squat: 105.0 lb\n- Reason: Completed the session, so apply a standard progressive overload increase.",
-                   1: C.NOT_ASKED}
+                   1: V.NOT_ASKED}
     nobody = rows("question_id bigint, user_id bigint, question string", (0, 9, "next weight"))
-    assert C.prediction_blocks(nobody, workouts).first().prediction.endswith(C.NO_TARGET)
+    assert C.prediction_blocks(nobody, workouts).first().prediction.endswith(V.NO_TARGET)
 
 
 def test_excerpt_fallbacks(rows):
