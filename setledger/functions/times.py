@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+STAMP = "yyyy-MM-dd HH:mm:ss"
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
+# Formats that a plain cast reads; the pattern pins the one that is meant.
+_CAST_FORMATS = {STAMP: r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", ISO: r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$"}
 
 
-def parse_timestamp(c: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """One pinned format; text in any other format is missing."""
+def parse_timestamp(c: Column, fmt: str = STAMP) -> Column:
+    """One pinned format; text in any other format is missing. The two common formats never pass
+    through a zoned value, so a local clock change cannot move them."""
+    if fmt in _CAST_FORMATS:
+        text = F.trim(c)
+        return F.when(text.rlike(_CAST_FORMATS[fmt]), text.try_cast("timestamp_ntz"))
     return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
 
 
@@ -18,7 +25,7 @@ def truncate_seconds(c: Column) -> Column:
 
 
 def iso_seconds(c: Column) -> Column:
-    return F.date_format(c, ISO)
+    return F.replace(F.substring(c.cast("timestamp_ntz").cast("string"), 1, 19), F.lit(" "), F.lit("T"))
 
 
 def start_of_day(c: Column) -> Column:

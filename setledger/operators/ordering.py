@@ -101,12 +101,18 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     add: Callable[[DataFrame, WindowSpec], DataFrame],
-                    before: int = 0, after: int = 0,
-                    rows_per_task: int | None = None) -> DataFrame:
+                    before: int = 0, after: int = 0, rows_per_task: int | None = None,
+                    derived_from: DataFrame | None = None) -> DataFrame:
     """Apply ``add(df, window)``, whose columns look at most ``before`` rows back and ``after``
-    rows ahead within ``keys``."""
+    rows ahead within ``keys``.
+
+    ``derived_from`` names the rows that ``df`` was reduced from: their groups are at least as
+    large and cheaper to count. Only when those are too large is ``df`` itself stored and counted.
+    """
     bound = rows_per_task or ROWS_PER_TASK
-    if largest_group(df, keys) <= bound:
+    if derived_from is not None and largest_group(derived_from, keys) > bound:
+        df, derived_from = pin(df), None
+    if derived_from is not None or largest_group(df, keys) <= bound:
         return add(df, _window(keys, order))
     hot, rest = _hot_and_rest(df, keys, bound)
     sliced = _slices(hot, keys, order, bound)

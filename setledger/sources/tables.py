@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from setledger import schemas as S
 from setledger.functions.numbers import parse_number
-from setledger.functions.times import ISO, iso_seconds
+from setledger.functions.times import ISO, iso_seconds, parse_timestamp
 from setledger.operators.learning import with_model_group
 from setledger.operators.sessions import coerce_sets, collapse_sessions, valid_sets
 
@@ -44,9 +44,9 @@ def _typed(df: DataFrame) -> DataFrame:
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     typed = {c: parse_number(F.col(c)).cast(t) for c, t in number.items() if c in text}
     if "date" in text:
-        typed["date"] = F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")))
+        typed["date"] = F.when(F.col("date").rlike(r"^\d{4}-\d\d-\d\d$"), F.col("date").try_cast("date"))
     if "logged_at" in text:
-        typed["logged_at"] = F.try_to_timestamp("logged_at", F.lit(ISO)).cast("timestamp_ntz")
+        typed["logged_at"] = parse_timestamp(F.col("logged_at"), ISO)
     return df.withColumns(typed) if typed else df
 
 

@@ -114,3 +114,16 @@ def test_unit_length(rows):
     df = rows("v array<double>", ([3.0, 4.0],), ([0.0, 0.0],))
     assert values(df, vectors.l2_normalize(F.col("v"))) == [[0.6, 0.8], [0.0, 0.0]]
     assert values(df, vectors.dot(F.col("v"), F.col("v"))) == [25.0, 0.0]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_local_clock_changes_do_not_move_times(spark, rows, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = rows("s string", ("2024-03-10 02:30:00",), ("2024-13-01 00:00:00",), ("2024-03-10",))
+        t = times.parse_timestamp(F.col("s"))
+        assert values(df, times.iso_seconds(t)) == ["2024-03-10T02:30:00", None, None]
+        assert values(df, times.epoch_seconds(t)) == [1710037800, 0, 0]
+        assert values(df, times.iso_seconds(times.truncate_seconds(t)))[0] == "2024-03-10T02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
