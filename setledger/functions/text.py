@@ -70,4 +70,5 @@ def join_authors(c: Column) -> Column:
 
 def drop_bad_bytes(c: Column) -> Column:
     """Remove byte sequences that are not UTF-8."""
-    return F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(c), c).otherwise(
+        F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))

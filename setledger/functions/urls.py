@@ -1,20 +1,27 @@
-"""URL and page-markup columns."""
+"""URL and page-markup columns.
+
+URLs are taken apart by pattern, not by a strict parser: links in the wild hold blanks and other
+characters that a strict parser rejects.
+"""
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from setledger.functions.text import blank_to_null, strip
 
+_SCHEME = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?"
+
 
 def _path(url: Column) -> Column:
     """Path without the ;parameters of its last segment."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return F.regexp_replace(path, ";[^/]*$", "")
+    return F.regexp_replace(F.regexp_extract(url, _SCHEME + r"(?://[^/?#]*)?([^?#]*)", 1), ";[^/]*$", "")
 
 
 def _authority(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("AUTHORITY")))
+    return F.regexp_extract(url, _SCHEME + r"//([^/?#]*)", 1)
 
 
 def file_stem(url: Column) -> Column:
@@ -26,25 +33,46 @@ def file_stem(url: Column) -> Column:
 
 
 def site_name(url: Column) -> Column:
-    host = _authority(url)
-    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+    """Host with its port, lower case, without a leading www."""
+    return F.nullif(F.regexp_replace(F.lower(_authority(url)), r"^www\.", ""), F.lit(""))
 
 
 def video_id(url: Column) -> Column:
+    """The first non-blank v of a watch link's query, or the path of a short link."""
     clean = strip(url)
-    host = F.try_parse_url(clean, F.lit("AUTHORITY"))
-    from_query = F.try_url_decode(
-        F.nullif(F.try_parse_url(clean, F.lit("QUERY"), F.lit("v")), F.lit("")))
+    host = _authority(clean)
+    value = F.nullif(F.regexp_extract(clean, r"^[^?#]*\?(?:[^#]*?&)?v=([^&#]+)", 1), F.lit(""))
+    from_query = F.coalesce(F.try_url_decode(value), value)
     from_path = F.nullif(F.ltrim(_path(clean), F.lit("/")), F.lit(""))
     return F.when(host.contains("youtube.com"), from_query).when(host.contains("youtu.be"), from_path)
 
 
+def _named_entities() -> Column:
+    """Entity name to its characters as UTF-32 in hex; folded to a constant by the optimizer."""
+    pairs = (f"{name[:-1]}={''.join(f'{ord(x):08X}' for x in chars)}" for name, chars in html5.items()
+             if name.endswith(";"))
+    return F.str_to_map(F.lit(" ".join(pairs)), F.lit(" "), F.lit("="))
+
+
 def unescape_html(c: Column) -> Column:
-    """The predefined XML entities, the no-break space and the apostrophe by number."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-                         ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Named and numeric character references, each read once from left to right."""
+    named = _named_entities()
+
+    def numeric(code: Column) -> Column:
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});", 1)
+        code = (F.when(name == "", None)
+                .when(name.rlike("^#[xX]"), numeric(F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")))
+                .when(name.startswith("#"), numeric(F.substr(name, F.lit(2)).try_cast("bigint")))
+                .otherwise(F.try_element_at(named, name)))
+        char = F.decode(F.unhex(code), "UTF-32")
+        return F.coalesce(F.concat(char, F.substr(part, F.length(name) + 3)), part)
+
+    pieces = F.transform(F.split(c, "(?=&)"), one)
+    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
 
 
 def html_title(html: Column) -> Column:

@@ -419,6 +419,8 @@ add("label_vectors", f"""SELECT label, CAST(dim AS INT) AS dim, {r6('v / greates
     SELECT label, coalesce(quality, 1) AS mask, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS dim
     FROM embeddings LEFT JOIN labels ON doc_id = vec_id) GROUP BY label, dim)""")
 
+add("hashed_vectors", f"SELECT doc_id, 512 AS dim, CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents")
+
 # ---- chats, quota, entries, dashboards
 
 VIEWS["v_last_turns"] = f"""

@@ -97,3 +97,20 @@ def test_corpus_to_context(spark, rows, tmp_path):
     profiles = rows("user_id bigint, goal string, experience_level string, equipment_access array<string>, training_frequency int")
     text = answer_contexts(questions, model, vectors, chunks, workouts, profiles).first().context
     assert "[1] Title: squat\nSource: w.org\nURL: u\nExcerpt: squat depth" in text and "No logged workout history" in text
+
+
+def test_reports_and_predictions_are_stored(spark, rows, tmp_path):
+    from setledger.operators import evaluation as E
+    from setledger.operators.rules import predict_by_rule
+    df = rows("exercise string, sets int, reps int, weight double, rpe double, rir double, actual_next_weight double",
+              ("Squat", 3, 5, 100.0, None, None, 110.0), ("Row", 3, 5, 50.0, None, 1.0, 50.0))
+    predictions = predict_by_rule(df)
+    tables.write_predictions(predictions, str(tmp_path / "deep/p.csv"))
+    back = tables.read_predictions(spark, str(tmp_path / "deep/p.csv"))
+    assert sorted(r.predicted_next_weight for r in back.collect()) == [51.25, 105.0]
+    scored = E.error_columns(back)
+    tables.write_report(E.overall_metrics(scored), E.per_exercise_metrics(scored), E.model_report({"rule": back}), str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r/model_report.parquet")).first().model == "rule"
+    assert spark.read.parquet(str(tmp_path / "r/per_exercise_metrics.parquet")).count() == 2
+    rule = tables.read_for_rule_model(spark, str(tmp_path / "deep/p.csv"))
+    assert predict_by_rule(rule.select(*df.columns)).count() == 2
