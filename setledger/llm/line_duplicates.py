@@ -164,12 +164,37 @@ def close_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         "a", "b", "ta", "tb").mapInPandas(work, "a long, b long")
 
 
+def char_counts(lines: list[str]) -> np.ndarray:
+    """How often each of 32 groups of characters occurs, a row per line."""
+    points, starts = code_points(lines)
+    owner = np.repeat(np.arange(len(lines)), np.diff(starts))
+    return np.bincount(owner * 32 + points % 32, minlength=32 * len(lines)).reshape(-1, 32).astype(np.int32)
+
+
+def compare_blocks(key: int, left: list[dict], right: list[dict]) -> Iterator[tuple[int, int]]:
+    """For ``linkage.links_across``: pairs of lines within the budget of the shorter one. An edit changes
+    the character counts by two at most, so counts that differ by more than twice the budget rule a pair
+    out before it is aligned."""
+    size = [np.array([len(n["line"]) for n in side]) for side in (left, right)]
+    root = [np.array([n["root"] for n in side]) for side in (left, right)]
+    allowed = budget(np.minimum(size[0][:, None], size[1][None, :]))
+    near = (np.abs(size[0][:, None] - size[1][None, :]) <= allowed) & (root[0][:, None] != root[1][None, :])
+    if left is right:
+        near = np.triu(near, 1)
+    counts = [char_counts([n["line"] for n in side]) for side in (left, right)]
+    i, j = np.nonzero(near)
+    alike = np.abs(counts[0][i] - counts[1][j]).sum(axis=1) <= 2 * allowed[i, j]
+    for i, j in zip(i[alike], j[alike]):
+        if within(left[i]["line"], right[j]["line"], int(allowed[i, j])):
+            yield int(i), int(j)
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """text_key, dropped (sorted line numbers, from 0) and class_docs (the documents of the first
     occurrences), for each document that loses lines; stored."""
     lines = distinct_lines(line_occurrences(docs))
     shared = shared_buckets(segment_buckets(lines))
-    roots = link_groups(shared, lambda pairs: close_lines(pairs, lines))
+    roots = link_groups(shared, lambda pairs: close_lines(pairs, lines), lines.select("node", "line"), compare_blocks)
     linked = lines.select("node", "h1", "h2", "first", "times").join(roots, "node", "left")
     # lines that are alone and occur once keep their place without a look
     grouped = linked.filter("times > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))

@@ -188,6 +188,36 @@ def exact_links(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, widt
     return told.select("a", "b", "ta", "tb").mapInPandas(work, "a long, b long")
 
 
+def compare_blocks(percent: int = PERCENT, width: int = SHINGLE_WORDS):
+    """For ``linkage.links_across``: pairs whose first common band is this key's, then batch by batch, then
+    on the full sets."""
+    def compare(key: int, left: list[dict], right: list[dict]) -> Iterator[tuple[int, int]]:
+        a, b = (np.stack([np.asarray(n["sig"], np.int64) for n in side]) for side in (left, right))
+        band = key >> 8 * ROWS
+        meet = a[:, None, band] == b[None, :, band]
+        for earlier in range(band):
+            meet &= a[:, None, earlier] != b[None, :, earlier]
+        meet &= np.array([n["root"] for n in left])[:, None] != np.array([n["root"] for n in right])[None, :]
+        if left is right:
+            meet = np.triu(meet, 1)
+        i, j = np.nonzero(meet)
+        if not len(i):
+            return
+        x, y = (side.view(np.uint8).reshape(-1, BANDS, 8)[:, :, :ROWS].reshape(-1, HASHES) for side in (a, b))
+        count, done = np.zeros(len(i), np.int64), 0
+        for upto, least in least_agreements(percent):
+            count += (x[i, done:upto] == y[j, done:upto]).sum(axis=1)
+            i, j, count, done = i[count >= least], j[count >= least], count[count >= least], upto
+        need_left, need_right = np.unique(i), np.unique(j)
+        sets_left = dict(zip(need_left, shingle_sets([left[k]["text"] for k in need_left], width)))
+        sets_right = dict(zip(need_right, shingle_sets([right[k]["text"] for k in need_right], width)))
+        for k, m in zip(i, j):
+            if similar(sets_left[k], sets_right[m], percent):
+                yield int(k), int(m)
+
+    return compare
+
+
 def class_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes, stored. Text is shuffled once, by the key of id and text; rows
     that repeat both are dropped where they meet."""
@@ -203,7 +233,8 @@ def set_components(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
     nodes = classes(sketched)
     shared = shared_buckets(bands(nodes))
     texts = class_texts(docs, nodes, shared.select("node").distinct())
-    roots = link_groups(shared, lambda pairs: exact_links(pin(survivors(pairs, nodes, percent)), texts, percent, width))
+    roots = link_groups(shared, lambda pairs: exact_links(pin(survivors(pairs, nodes, percent)), texts, percent, width),
+                        nodes.select("node", "sig").join(texts, "node"), compare_blocks(percent, width))
     grouped = nodes.select("node", "hi", "lo", "doc_id", "text_key").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     last = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "text_key")
