@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from setledger.llm.common import SpanHashes, code_points, mixed, slices
@@ -36,6 +37,7 @@ MIN_CHARS = 16
 #: Shortest line for each edit budget from 1 on.
 BUDGET_FROM = (32, 96)
 BLANKS = " \t\r\x0b\x0c"
+FILTER_BITS = 1 << 26
 
 
 def budget(length):
@@ -44,13 +46,23 @@ def budget(length):
 
 
 def line_occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, digest (h1, h2) and line: the compared lines of all documents."""
+    """doc_id, text_key, line_no and digest (node, check) of the compared lines of all documents."""
     cut = docs.select("doc_id", F.expr("xxhash64(doc_id, text)").alias("text_key"),
                       F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     lines = cut.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).filter(
         F.length("line") >= MIN_CHARS)
-    return lines.select("doc_id", "text_key", "line_no", F.xxhash64(F.lit(1), "line").alias("h1"),
-                        F.xxhash64(F.lit(2), "line").alias("h2"), "line")
+    return lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("node"),
+                        F.xxhash64(F.lit(1), "line").alias("check"))
+
+
+def compared_lines(texts: list[str | None], least: int = MIN_CHARS) -> list[str]:
+    return [line for text in texts if text for raw in text.split("\n") if len(line := raw.strip(BLANKS)) >= least]
+
+
+def line_nodes(lines: list[str]) -> np.ndarray:
+    """The number that ``xxhash64`` gives each line."""
+    return np.fromiter((xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) for line in lines),
+                       np.uint64, len(lines)).view(np.int64)
 
 
 def _first():
@@ -59,10 +71,9 @@ def _first():
 
 
 def distinct_lines(occurrences: DataFrame) -> DataFrame:
-    """One stored row per distinct line: node, h1, h2, first occurrence, number of occurrences, line."""
-    rows = occurrences.groupBy("h1", "h2").agg(
-        F.min(_first()).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
-    return pin(rows.select(F.monotonically_increasing_id().alias("node"), "*"))
+    """One stored row per distinct line: node, check, first occurrence and number of occurrences. No text
+    is shuffled."""
+    return pin(occurrences.groupBy("node", "check").agg(F.min(_first()).alias("first"), F.count("*").alias("times")))
 
 
 def segment_bounds(length: np.ndarray, edits: int, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +110,47 @@ def segment_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def segment_buckets(lines: DataFrame) -> DataFrame:
-    """(key, node) of all distinct lines long enough for an edit."""
+def segment_buckets(docs: DataFrame) -> DataFrame:
+    """(key, node) of all lines long enough for an edit, straight from the texts; a line that a task meets
+    again in the same stretch of rows is left out there."""
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, "text", 2_000_000):
+                lines = list(dict.fromkeys(compared_lines(part["text"].tolist(), BUDGET_FROM[0])))
+                keys, owners = segment_keys(lines)
+                yield pd.DataFrame({"key": keys, "node": line_nodes(lines)[owners]})
+
+    return docs.select("text").mapInPandas(work, "key long, node long")
+
+
+def node_filter(nodes: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of one hash over the nodes: its bits, and 64-bit words. At most ``FILTER_BITS`` bits
+    whatever the number of nodes; if it fills up it only lets more lines pass to the join behind it."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * nodes.count()).bit_length()))
+    at = F.pmod(F.col("node"), F.lit(bits))
+    words = nodes.groupBy(F.shiftright(at, 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(pmod(node, 64) as int))")).alias("mask")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    return bits, out
+
+
+def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of the given nodes, stored. A bounded filter keeps other lines from the shuffle."""
+    bits, words = node_filter(nodes)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch, "line", 2_000_000):
-                keys, owners = segment_keys(part["line"].tolist())
-                yield pd.DataFrame({"key": keys, "node": part["node"].to_numpy()[owners]})
+            for part in slices(batch, "text", 2_000_000):
+                lines = list(dict.fromkeys(compared_lines(part["text"].tolist(), BUDGET_FROM[0])))
+                own = line_nodes(lines)
+                at = own % bits
+                passed = (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                yield pd.DataFrame({"node": own[passed], "line": [lines[i] for i in np.flatnonzero(passed)]})
 
-    return lines.filter(F.length("line") >= BUDGET_FROM[0]).select("node", "line").mapInPandas(work, "key long, node long")
+    found = docs.select("text").mapInPandas(work, "node long, line string")
+    return pin(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -192,15 +235,18 @@ def compare_blocks(key: int, left: list[dict], right: list[dict]) -> Iterator[tu
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """text_key, dropped (sorted line numbers, from 0) and class_docs (the documents of the first
     occurrences), for each document that loses lines; stored."""
-    lines = distinct_lines(line_occurrences(docs))
-    shared = shared_buckets(segment_buckets(lines))
-    roots = link_groups(shared, lambda pairs: close_lines(pairs, lines), lines.select("node", "line"), compare_blocks)
-    linked = lines.select("node", "h1", "h2", "first", "times").join(roots, "node", "left")
+    occurrences = line_occurrences(docs)
+    lines = distinct_lines(occurrences)
+    shared = shared_buckets(segment_buckets(docs))
+    texts = wanted_lines(docs, pin(shared.select("node").distinct()))
+    roots = link_groups(shared, lambda pairs: close_lines(pairs, texts), texts, compare_blocks)
+    linked = lines.join(roots, "node", "left")
     # lines that are alone and occur once keep their place without a look
-    grouped = linked.filter("times > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    alone = linked.filter("root IS NULL AND times > 1").select("node", "check", F.col("first").alias("stays"))
+    grouped = linked.filter("root IS NOT NULL")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("stays"))
-    known = pin(grouped.join(firsts, "root").select("h1", "h2", "stays"))
-    places = line_occurrences(docs).drop("line").join(known, ["h1", "h2"])
+    known = pin(grouped.join(firsts, "root").select("node", "check", "stays").unionByName(alone))
+    places = occurrences.join(known, ["node", "check"])
     lost = places.filter(~_first().eqNullSafe(F.col("stays")))
     return pin(lost.groupBy("text_key").agg(
         F.array_sort(F.collect_set("line_no")).alias("dropped"),

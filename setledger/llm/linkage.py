@@ -66,7 +66,7 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     meets most others over all its keys: the middle of a group, to which its members are closest."""
     sizes = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"),
                                        F.count("*").alias("size")).filter("low != high")
-    shared = pin(buckets.join(sizes.select("key", "size"), "key"))
+    shared = pin(buckets.join(sizes.select("key", "size"), "key").distinct())
     met = shared.groupBy("node").agg(F.sum("size").alias("met"))
     ranked = shared.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("best"))
     return pin(shared.select("key", "node").join(ranked.select("key", F.col("best.node").alias("hub")), "key"))
