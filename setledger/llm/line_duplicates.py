@@ -147,7 +147,7 @@ def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 own = line_nodes(lines)
                 at = own % bits
                 passed = (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                yield pd.DataFrame({"node": own[passed], "line": [lines[i] for i in np.flatnonzero(passed)]})
+                yield pd.DataFrame({"node": own[passed], "line": np.array(lines, object)[passed]})
 
     found = docs.select("text").mapInPandas(work, "node long, line string")
     return pin(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
