@@ -38,6 +38,8 @@ def at_least(c: Column, floor) -> Column:
 
 def format_number(c: Column) -> Column:
     """Whole numbers without a point, others with one decimal, missing as ``unknown``."""
-    one_place = F.regexp_replace(F.bround(c, 1).cast("string"), r"\.0$", "")
+    # as a decimal: a double's text switches to powers of ten from 1e7 on
+    plain = F.coalesce(F.bround(c, 1).try_cast("decimal(38,1)").cast("string"), F.bround(c, 1).cast("string"))
+    one_place = F.regexp_replace(plain, r"\.0$", "")
     whole = c.cast("bigint").cast("string")
     return F.when(c.isNull() | F.isnan(c), "unknown").when(c == F.floor(c), whole).otherwise(one_place)

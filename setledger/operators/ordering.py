@@ -22,7 +22,6 @@ from setledger.session import pin
 
 # Rows of one group that a single task may hold and sort.
 ROWS_PER_TASK = 2_000_000
-_MAX_SLICES = 20_000
 
 _SLICE = "_slice"
 _HALO = "_halo"
@@ -57,7 +56,7 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
-    count = min(_MAX_SLICES, max(2, -(-df.count() // rows) * 2))
+    count = max(2, -(-df.count() // rows) * 2)
     ranged = df.repartitionByRange(count, *[F.col(k) for k in keys], *ascending(order))
     return pin(ranged.withColumn(_SLICE, F.spark_partition_id()))
 

@@ -116,8 +116,10 @@ def prediction_sink(folder: str) -> Callable[[DataFrame, int], None]:
 
 
 def last_saved(profiles: DataFrame) -> DataFrame:
+    """The newest row per user; of rows with one time the one that is last in the order of its columns."""
     columns = [c for c in profiles.columns if c != "user_id"]
-    return profiles.groupBy("user_id").agg(F.max_by(F.struct(*columns), "updated_at").alias("p")).select("user_id", "p.*")
+    newest = F.struct("updated_at", *[c for c in columns if c != "updated_at"])
+    return profiles.groupBy("user_id").agg(F.max_by(F.struct(*columns), newest).alias("p")).select("user_id", "p.*")
 
 
 def profile_sink(folder: str) -> Callable[[DataFrame, int], None]:
