@@ -47,29 +47,47 @@ def video_id(url: Column) -> Column:
     return F.when(host.contains("youtube.com"), from_query).when(host.contains("youtu.be"), from_path)
 
 
-def _named_entities() -> Column:
-    """Entity name to its characters as UTF-32 in hex; folded to a constant by the optimizer."""
-    pairs = (f"{name[:-1]}={''.join(f'{ord(x):08X}' for x in chars)}" for name, chars in html5.items()
-             if name.endswith(";"))
-    return F.str_to_map(F.lit(" ".join(pairs)), F.lit(" "), F.lit("="))
+def _text_map(pairs: dict[str, str]) -> Column:
+    """Keys to characters as UTF-32 in hex; folded to a constant by the optimizer."""
+    told = (f"{key}={''.join(f'{ord(x):08X}' for x in chars)}" for key, chars in pairs.items())
+    return F.str_to_map(F.lit(" ".join(told)), F.lit(" "), F.lit("="))
+
+
+def _windows_characters() -> dict[str, str]:
+    """What the code points 128 to 159 stand for in pages: Windows characters, where there is one."""
+    return {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
 
 def unescape_html(c: Column) -> Column:
-    """Named and numeric character references, each read once from left to right."""
-    named = _named_entities()
+    """Named and numeric character references, each read once from left to right, as browsers read them:
+    the closing semicolon of numbers and of the oldest names may be missing (longest name first)."""
+    named = _text_map(html5)
+    open_names = {name: chars for name, chars in html5.items() if not name.endswith(";")}
+    sizes = sorted({len(name) for name in open_names}, reverse=True)
+    unclosed, windows = _text_map(open_names), _text_map(_windows_characters())
 
     def numeric(code: Column) -> Column:
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")
+        readable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        dropped = (code.between(1, 8) | code.isin(11, 127) | code.between(14, 31) | code.between(0xFDD0, 0xFDEF)
+                   | ((code % 0x10000) >= 0xFFFE))
+        return (F.when(code.isNull() | ~readable, "0000FFFD")
+                .when(code.between(0x80, 0x9F), F.try_element_at(windows, code.cast("string")))
+                .when(dropped, "").otherwise(F.lpad(F.hex(code), 8, "0")))
 
     def one(part: Column) -> Column:
-        name = F.regexp_extract(part, r"^&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});", 1)
-        code = (F.when(name == "", None)
-                .when(name.rlike("^#[xX]"), numeric(F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")))
-                .when(name.startswith("#"), numeric(F.substr(name, F.lit(2)).try_cast("bigint")))
-                .otherwise(F.try_element_at(named, name)))
-        char = F.decode(F.unhex(code), "UTF-32")
-        return F.coalesce(F.concat(char, F.substr(part, F.length(name) + 3)), part)
+        name = F.regexp_extract(part, r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        digits = F.regexp_extract(name, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+        code = (F.when(F.length(digits) > 8, None).when(digits == "", F.lit(0))
+                .when(name.rlike("^#[xX]"), F.conv(digits, 16, 10).try_cast("bigint"))
+                .otherwise(digits.try_cast("bigint")))
+        whole = F.when(name.startswith("#"), numeric(code)).otherwise(F.try_element_at(named, name))
+
+        def replaced(found: Column, size: Column) -> Column:
+            return F.concat(F.decode(F.unhex(found), "UTF-32"), F.substr(part, size + 2))
+
+        starts = [replaced(F.when(~name.startswith("#"), F.try_element_at(unclosed, F.left(name, F.lit(n)))), F.lit(n))
+                  for n in sizes]
+        return F.coalesce(replaced(whole, F.length(name)), *starts, part)
 
     pieces = F.transform(F.split(c, "(?=&)"), one)
     return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
