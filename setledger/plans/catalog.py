@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from setledger import schemas as S
@@ -12,7 +14,7 @@ from setledger.functions import vocabulary as V
 from setledger.operators import (activity, coaching, crawl, documents, evaluation, features, learning,
                                  retrieval, rules, sessions, vectorize)
 from setledger.plans import training
-from setledger.session import scratch_path
+from setledger.session import pin, scratch_path
 from setledger.sources import corpus, fixtures as A, index, tables
 from setledger.streaming import jobs
 
@@ -24,7 +26,6 @@ CHAT_TURNS = 4
 QUOTA = 3
 ROUTER_ROWS = 60
 STREAK = 2
-DRIVER_TREES = learning.BoostSettings(trees=20)
 
 
 def query(fn: Query) -> Query:
@@ -276,39 +277,59 @@ def _labelled_workouts(spark, sf):
 
 
 def _train_test(spark, sf):
-    split = _labelled_workouts(spark, sf)
+    split = pin(_labelled_workouts(spark, sf))
     return [split.filter(F.col("dataset") == part).drop("dataset") for part in ("train", "test")]
 
 
 @query
 def boosted_predictions(spark, sf):
     train, test = _train_test(spark, sf)
-    return show(learning.boosted_predictions(train, test, settings=DRIVER_TREES))
+    return show(learning.boosted_predictions(train, test))
 
 
 @query
 def grouped_predictions(spark, sf):
     train, test = _train_test(spark, sf)
-    models = learning.train_per_group(train, test, learning.BoostSettings(trees=5))
+    models = learning.train_per_group(train, test)
     history = train.unionByName(test)
     return show(learning.predict_per_group(models, history, test))
 
 
 @query
 def latest_predictions(spark, sf):
-    """Models stored and loaded again, then the newest row of every user and exercise."""
+    """Models stored and loaded again, then the newest row of every user and exercise of the whole log."""
     train, _ = _train_test(spark, sf)
-    feats = features.fill_features(features.history_features(train))
-    model = learning.train_boosted(feats, settings=learning.BoostSettings(trees=5))
+    log = A.workouts(spark, sf)
+    feats = pin(features.fill_features(features.history_features(train)))
+    model = learning.train_boosted(feats)
     folder = scratch_path(spark, "models")
     learning.save_models(spark, {"global": model}, folder)
     loaded = learning.load_models(spark, folder)["global"]
-    learned = learning.predict_latest(loaded, train)
-    ruled = rules.predict_by_rule(train)
+    learned = learning.predict_latest(loaded, log)
+    ruled = rules.predict_by_rule(log)
     return show(learning.prefer_learned(learned, ruled).select(
         "row_id", "exercise", "weight", "predicted_next_weight", "model_name"))
 
 
+@query
+def latest_features(spark, sf):
+    """What a model is given for the newest row of every user and exercise."""
+    return show(learning.latest_features(A.workouts_tied(spark, sf)).select(FEATURES))
+
+
+@query
+def assembled_vectors(spark, sf):
+    """The assembled vector: its width, the sum of its numbers, and the column that its name has."""
+    rows = pin(features.fill_features(features.history_features(A.workouts(spark, sf))))
+    vectors = Pipeline(stages=learning.encoder_stages(["exercise"])).fit(rows).transform(rows)
+    n = len(features.NUMERIC_FEATURES)
+    values = vectors.select("row_id", "exercise", vector_to_array("features").alias("v"))
+    return values.select(
+        "row_id", "exercise", F.size("v").alias("width"),
+        F.bround(F.aggregate(F.slice("v", 1, n), F.lit(0.0), lambda s, x: s + x), 3).alias("total"),
+        (F.array_position(F.slice("v", n + 1, F.size("v") - n), 1.0) - 1).alias("name_column"))
+
+
 @query
 def routed_groups(spark, sf):
     """Each row's model group when only three groups have a model."""

@@ -295,6 +295,16 @@ add("strict_past_features", f"""SELECT row_id, user_id, exercise, {feature_colum
   SELECT v_tied.*, v_past.* EXCLUDE (row_id, history_count), coalesce(history_count, 0) AS history_count
   FROM v_tied LEFT JOIN v_past ON v_past.row_id = v_tied.row_id)""")
 
+add("latest_features", f"""SELECT row_id, user_id, exercise, {feature_columns(True)} FROM (
+  SELECT v_tied.*, v_past.* EXCLUDE (row_id, history_count), coalesce(history_count, 0) AS history_count
+  FROM v_tied LEFT JOIN v_past ON v_past.row_id = v_tied.row_id
+  QUALIFY row_number() OVER (PARTITION BY v_tied.user_id, v_tied.exercise ORDER BY logged_at DESC, date DESC, v_tied.row_id) = 1)""")
+_NUMBERS = [*_EFFORT, *[f"previous_{k}_{c}" for k in (1, 2, 3) for c in _EFFORT], "previous_3_weight_avg", "previous_3_reps_avg",
+            "previous_1_weight - previous_2_weight", "history_count"]
+add("assembled_vectors", f"""SELECT row_id, exercise, CAST({len(_NUMBERS)} + (SELECT count(DISTINCT exercise) FROM v_workouts ) AS INT) AS width,
+  round_even(CAST({' + '.join(f'coalesce({c}, 0)' for c in _NUMBERS)} AS DOUBLE), 3) AS total,
+  dense_rank() OVER (ORDER BY exercise) - 1 AS name_column FROM v_lagged """)
+
 # ---- documents
 
 VIEWS["v_meta"] = """
