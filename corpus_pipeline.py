@@ -10,6 +10,9 @@ from setledger.llm import decontaminate, line_duplicates, mixing, near_duplicate
 from setledger.llm.common import table
 from setledger.session import pin
 
+#: Words of a shingle in the near duplicate stage; the query op8 takes the four of its contract.
+SHINGLE_WORDS = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -25,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return near_duplicates.one_of_each(docs)
+    """One document of each group of near copies (five words a shingle, similarity 0.8) stays."""
+    return near_duplicates.one_of_each(docs, width=SHINGLE_WORDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
