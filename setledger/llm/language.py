@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from setledger.llm.common import code_points, held_out, slices
+from setledger.session import pin
 
 ROWS_PER_LANGUAGE = 100
 WINDOW = 400
@@ -40,14 +41,16 @@ WIDTH = FIRST_OWN + OWN_SYMBOLS + SHARED_SYMBOLS
 
 
 def training_samples(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, window: int = WINDOW) -> dict[str, str]:
-    """language -> sample. Rows are ranked by a hash of the text with a group limit, so each task sends
-    on at most ``rows`` windows per language."""
+    """language -> sample, of ``rows`` different texts per language, those with the smallest hashes; copies
+    count once. Only hashes are shuffled to find them; each task sends on at most ``rows`` per language."""
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     key = F.xxhash64("text")
+    ranked = learn.select("lang", key.alias("key")).distinct().withColumn(
+        "rank", F.row_number().over(W.partitionBy("lang").orderBy("key"))).filter(F.col("rank") <= rows)
     start = F.pmod(key, F.greatest(F.length("text") - window, F.lit(0)) + 1) + 1
     cut = learn.select("lang", key.alias("key"), F.expr("text").substr(start.cast("int"), F.lit(window)).alias("part"))
-    ranked = cut.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key", "part"))).filter(F.col("rank") <= rows)
-    found = ranked.select("lang", "rank", "part").toPandas().sort_values(["lang", "rank"])
+    met = cut.join(pin(ranked), ["lang", "key"]).groupBy("lang", "rank").agg(F.min("part").alias("part"))
+    found = met.toPandas().sort_values(["lang", "rank"])
     return {lang: "\n".join(part["part"]) for lang, part in found.groupby("lang")}
 
 

@@ -3,11 +3,12 @@
 Presence of hashed character n-grams (A-Z and other letters lower-cased, white space folded) is counted
 per class over *all* labelled training rows; the smoothed log ratio of the two class frequencies scales
 each feature, and a logistic model is fitted on the scaled features. The fit itself takes a bounded
-sample of labelled rows (``rows_per_class``, about that many of each class, chosen by a hash of the
-text); the vector of counts has ``2 ** bits`` entries whatever the corpus is.
+sample of labelled texts (``rows_per_class``, about that many distinct ones of each class, chosen by a
+hash of the text); the vector of counts has ``2 ** bits`` entries whatever the corpus is.
 
 Defined results: null or empty text has no n-gram and gets the score of the intercept; repeated rows get
-equal scores; several label rows of one document count once, as toxic if one of them says so; labels
+equal scores and count each in the ratios, but once in the fit, so that a text with any number of copies
+is one row of the sample; several label rows of one document count once, as toxic if one of them says so; labels
 without a document and null labels are ignored; with no training rows, or none of one class, every score
 is 0.0. Columns besides doc_id, text and toxic are ignored.
 """
@@ -124,13 +125,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows_pe
                    max_features: int = MAX_FEATURES) -> ToxicityModel:
     """``rows_per_class`` bounds the rows of the fit; the log-count ratios take all labelled rows."""
     rows = labelled_rows(docs, labels)
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    by_text = F.xxhash64(F.coalesce("text", F.lit("")))
+    classes = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.approx_count_distinct(by_text, 0.01).alias("texts")).collect()
+    sizes = {r["toxic"]: r["n"] for r in classes}
     if len(sizes) < 2:
         return ToxicityModel(np.zeros(1 << bits, np.float32), -np.inf)
     ratio = log_ratios(presence_counts(rows, bits), (sizes[0], sizes[1]), bits, max_features)
-    share = {k: min(1.0, rows_per_class / n) for k, n in sizes.items()}
-    drawn = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 20)) < F.when(
-        F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20)))
+    share = {r["toxic"]: min(1.0, rows_per_class / max(1, r["texts"])) for r in classes}
+    drawn = F.pmod(by_text, F.lit(1 << 40)) < F.when(
+        F.col("toxic") == 1, int(share[1] * (1 << 40))).otherwise(int(share[0] * (1 << 40)))
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,7 +141,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows_pe
                 found = [f[ratio[f] != 0] for f in features(part["text"].tolist(), bits)]
                 yield pd.DataFrame({"toxic": part["toxic"].to_numpy(), "found": [np.sort(f).tobytes() for f in found]})
 
-    sample = rows.filter(drawn).mapInPandas(chosen, "toxic int, found binary").toPandas()
+    sample = rows.filter(drawn).mapInPandas(chosen, "toxic int, found binary").distinct().toPandas()
     sample = sample.sort_values(["toxic", "found"], kind="stable")
     if sample["toxic"].nunique() < 2:
         return ToxicityModel(np.zeros(1 << bits, np.float32), -np.inf)

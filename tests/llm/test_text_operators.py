@@ -135,7 +135,32 @@ def test_toxicity(spark, odd, empty, no_labels):
     assert {r.score for r in toxicity.toxicity_scores(odd, untrained).collect()} == {0.0}
 
 
+def copied(spark, docs, held, times=600):
+    """``docs`` and many rows that repeat one of its texts, a third of them held out."""
+    one = docs.filter(held).orderBy("doc_id").limit(1).drop("doc_id")
+    return docs.unionByName(spark.range(10_000_000, 10_000_000 + times).withColumnRenamed("id", "doc_id").join(one, how="cross"))
+
+
+def test_toxicity_with_copies(spark):
+    """A text with any number of labelled copies is one row of the fit's sample."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    hot = copied(spark, docs, F.col("text").isNotNull()).cache()
+    marks = labels.select("doc_id", "toxic").unionByName(hot.filter("doc_id >= 10000000").select("doc_id", F.lit(0).cast("int").alias("toxic")))
+    scored = toxicity.toxicity_scores(docs, toxicity.train_toxicity(hot, marks)).join(labels, "doc_id").toPandas()
+    bad, good = scored[scored.toxic == 1].score.to_numpy(), scored[scored.toxic == 0].score.to_numpy()
+    assert (bad[:, None] > good[None, :]).mean() > 0.9 and (good >= 0.7).mean() < 0.05
+
+
 # language
+def test_language_samples_with_copies(spark):
+    """Copies take one place of a language's sample."""
+    docs = table(spark, FOLDER, "documents")
+    hot = copied(spark, docs, F.col("lang") == "en").cache()
+    parts = [sorted(language.training_samples(d, rows=1_000, window=10_000)["en"].split("\n")) for d in (hot, docs)]
+    more = len(parts[0]) - len(parts[1])
+    assert 0 <= more < 100 and set(parts[1]) <= set(parts[0])
+
+
 def test_language(spark, odd, empty):
     got = queries.op6_language(spark, FOLDER).filter("held_out").join(
         table(spark, FOLDER, "documents").select("doc_id", "lang"), "doc_id").collect()
