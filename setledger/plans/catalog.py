@@ -500,7 +500,7 @@ def chat_messages(spark, sf):
     turns = A.table(spark, sf, "conversations")
     prompts = turns.groupBy("conv_id").agg(F.count("*").cast("string").alias("n")).select(
         "conv_id", F.concat(F.lit("what should I do after "), "n", F.lit(" turns?")).alias("prompt"))
-    contexts = turns.filter(F.col("turn") == 0).select("conv_id", X.excerpt(F.col("text"), 80).alias("context"))
+    contexts = turns.filter(F.col("turn") == 0).select("conv_id", X.squeeze(F.col("text")).alias("context"))
     built = coaching.build_messages(prompts, turns, contexts, CHAT_TURNS, "Coach.", "Context: ")
     lines = F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"]))
     return built.select("conv_id", F.size("messages").alias("n"), F.array_join(lines, "\n").alias("messages"))

@@ -443,7 +443,7 @@ add("chat_messages", f"""SELECT conv_id, CAST(2 + (CASE WHEN coalesce(context, '
   concat_ws(chr(10), 'system: Coach.', CASE WHEN coalesce(context, '') <> '' THEN concat('system: Context: ', context) END,
     recent, concat('user: what should I do after ', turns, ' turns?')) AS messages
 FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id)
-LEFT JOIN (SELECT conv_id, {excerpt(80)} AS context FROM conversations WHERE turn = 0) USING (conv_id)
+LEFT JOIN (SELECT conv_id, trim(regexp_replace(text, '{_SPACES}+', ' ', 'g')) AS context FROM conversations WHERE turn = 0) USING (conv_id)
 LEFT JOIN (SELECT conv_id, count(*) AS k, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS recent
            FROM v_last_turns GROUP BY conv_id) USING (conv_id)""")
 add("daily_quota", f"""SELECT event_id, user_id, {day('ts')} AS day, n <= {QUOTA} AS allowed, least(n, {QUOTA}) AS used,
