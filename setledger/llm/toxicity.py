@@ -56,10 +56,12 @@ def features(texts: list[str | None], bits: int = BITS) -> Iterator[np.ndarray]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows that are not held out, stored once."""
+    """(text, toxic) of the labelled rows that are not held out, stored once. Labels grow with the corpus, so
+    the join is the one for large tables at every size."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(~held_out(F.col("doc_id")))
-    return pin(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, "doc_id").select(
+    return pin(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(
+        marks.hint("merge"), "doc_id").select(
         "text", (F.col("toxic") > 0).cast("int").alias("toxic")))
 
 
