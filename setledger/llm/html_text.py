@@ -46,8 +46,13 @@ BOILERPLATE = re.compile(
     r"footer|header|masthead|cookie|cookies|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|social|share|sharing|"
     r"comment|comments|respond|replies|disqus|related|recommended|pagination|pager|skip|login|search)(?:$|[-_ 0-9])")
 
+#: A class name with one of these parts says how the page is laid out around such a block ("has-sidebar").
+LAYOUT = re.compile(r"(?:^|[-_])(?:has|have|no|non|not|with|without|hide|hides|show|shows|enable|enabled|disable|disabled|"
+                    r"layout|fixed|sticky)(?:$|[-_])")
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _PIECES = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + "|".join(SKIPPED) + r")\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|template)(?:[\s/]" + _ATTRIBUTES + r")?(?<=/)>"
+    r"|<(?P<skip>" + "|".join(SKIPPED) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -88,11 +93,19 @@ def walk(page: str | None) -> Iterator[tuple[str, str | None]]:
         yield path if not piece["close"] else path + "!", None
 
 
+def is_boilerplate(tag: str, named: str) -> bool:
+    """Do the element's names tell of a closed slot? Those of the page and of the main element, and names
+    that only qualify a layout, do not."""
+    if tag in ("html", "body") or tag in MAIN:
+        return False
+    return any(BOILERPLATE.search(name) and not LAYOUT.search(name) for name in named.replace(".", " ").split())
+
+
 @lru_cache(maxsize=100_000)
 def is_closed(path: str) -> bool:
     for element in path.split("/"):
         tag, _, named = element.partition(".")
-        if tag in CLOSED or named and BOILERPLATE.search(named.replace(".", " ")):
+        if tag in CLOSED or named and is_boilerplate(tag, named):
             return True
     return False
 

@@ -208,6 +208,22 @@ def test_pages(rows, spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("named", ["home has-sidebar", "single-post no-sidebar", "fixed-header", "menu search-results", "footer", ""])
+def test_page_classes_close_nothing(named):
+    inner = '<div class="sidebar">Side</div><div class="site with-sidebar"><{0} class="header comments"><p>Body text</p></{0}></div>'
+    for tag in ("main", "article"):
+        page = f'<html class="{named}"><body class="{named}">{inner.format(tag)}</body></html>'
+        assert html_text.main_text(page, None) == "Body text"
+    assert html_text.main_text(f'<body class="{named}"><h1>A</h1><div class="page-sidebar">Side</div><p>B</p></body>', None) == "A\nB"
+
+
+@pytest.mark.parametrize("icon", ['<svg class="i"/>', "<svg/>", '<SVG d="a>b" />', "<template/>", '<svg a="/"><path d="M0"/></svg>',
+                                  "<svg-icon></svg-icon>"])
+def test_self_closed_icons_swallow_nothing(icon):
+    assert html_text.main_text(f"<p>a</p>{icon}<p>b</p>", None) == "a\nb"
+    assert html_text.main_text(f"<p>a</p>{icon}<p>b</p><svg><text>no</text></svg><p>c</p>", None) == "a\nb\nc"
+
+
 # decontamination
 def test_banded_alignment_brute_force():
     import random
