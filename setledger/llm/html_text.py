@@ -9,8 +9,8 @@
    in the closest class that owns a prefix of its path. What a class's containers hold beyond its own
    literals are its slots.
 3. Slots below menus, headers, footers, sidebars, notices, adverts, forms and comments are closed. Of the
-   rest, the slots inside an article or main element are the content; a host without one takes the
-   container that holds most text.
+   rest, the slots inside an article or main element are the content; a page without text there takes
+   all its open slots, whatever the other layouts of its host.
 4. Pages meet their host's template in a join and give the text of its content slots, block by block,
    literals included where they lie inside content.
 
@@ -176,16 +176,11 @@ def host_templates(tokens: DataFrame, support: float = 0.1) -> DataFrame:
 def slots(tokens: list[dict]) -> tuple[list[str], int]:
     """Valid classes of one host, nested, and the containers whose slots are content."""
     classes: dict[str, list[dict]] = defaultdict(list)
-    mass: Counter = Counter()
     for token in tokens:
-        if token["literal"] == "":
-            mass[token["path"]] += token["mass"]
-        else:
+        if token["literal"] != "":
             classes[token["vector"]].append(token)
     valid = {v: ts for v, ts in classes.items() if any(t["literal"] is None for t in ts)}
     owner = {t["path"]: v for v, ts in valid.items() for t in ts if t["literal"] is None}
-    # the nesting: each container hangs below its closest owned prefix, open slots pass their text up
-    open_mass: Counter = Counter()
     mains: list[str] = []
     for path in sorted(owner):
         elements = path.split("/")
@@ -193,16 +188,7 @@ def slots(tokens: list[dict]) -> tuple[list[str], int]:
             continue
         if is_main(elements[-1]) and not is_main("/".join(elements[:-1])):
             mains.append(path)
-        for depth in range(len(elements), 0, -1):
-            above = "/".join(elements[:depth])
-            if above in owner:
-                open_mass[above] += mass[path]
-    if mains:
-        return sorted(mains), len(valid)
-    whole = max(open_mass.values(), default=0)
-    # the deepest container that still holds nine tenths of the open text
-    best = [p for p, m in open_mass.items() if whole and m >= 0.9 * whole]
-    return ([max(best, key=lambda p: (p.count("/"), p))] if best else []), len(valid)
+    return sorted(mains), len(valid)
 
 
 def main_text(page: str | None, content: list[str] | None) -> str:
@@ -225,9 +211,8 @@ def main_text(page: str | None, content: list[str] | None) -> str:
                 own.append(text)
         return [said for b in [*blocks, "".join(own)] if (said := " ".join(entities.unescape(b).split()))]
 
-    if any(path in places for path, text in pieces if text is None):
-        return "\n".join(collect(lambda path: path in places or path.startswith(below)))
-    return "\n".join(collect(is_main) or collect(lambda path: True))
+    inside_main = lambda path: path in places or path.startswith(below) or is_main(path)
+    return "\n".join(collect(inside_main) or collect(lambda path: True))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -224,6 +224,26 @@ def test_self_closed_icons_swallow_nothing(icon):
     assert html_text.main_text(f"<p>a</p>{icon}<p>b</p><svg><text>no</text></svg><p>c</p>", None) == "a\nb\nc"
 
 
+def words_of(seed, n=40):
+    import random
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_pages_without_article_keep_all_open_slots(rows):
+    """A heading or a second block outside the largest container, and a rarer layout that also has that container."""
+    want, data = {}, []
+    for i in range(40):
+        if i % 20:
+            want[i] = f"Title {i}\n{words_of(i, 120)}\nNote {i}"
+            data.append((i, "http://h.org", f'<body><nav>Home</nav><h1>Title {i}</h1><div class="story"><p>{words_of(i, 120)}</p></div><div>Note {i}</div></body>'))
+        else:
+            want[i] = f"Teaser {i}\n{words_of(i, 90)}"
+            data.append((i, "http://h.org", f'<body><div class="story">Teaser {i}</div><div class="long"><p>{words_of(i, 90)}</p></div></body>'))
+    got = html_text.extract_main_text(rows("page_id long, url string, html string", *data)).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 # decontamination
 def test_banded_alignment_brute_force():
     import random
