@@ -1,21 +1,23 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-1. Every page is tokenised. A token is a structural tag with its path (class and id included), or a short
-   literal text with its path. Its occurrence vector holds its counts on the pages of a host; a sum of
-   page hashes times counts identifies the vector, so it is found for all pages of a host, however many,
-   by one mergeable sum per token.
-2. Tokens of a host with the same vector form an equivalence class. Classes that hold a structural token
-   and occur on a tenth of the host's pages or more are valid. They nest along their paths: a class lies
-   in the closest class that owns a prefix of its path. What a class's containers hold beyond its own
-   literals are its slots.
+1. Every page is tokenised. A token is a structural tag with its path (class and id included), or a block
+   of text with its path. Its occurrence vector holds its counts on the pages of a host; a sum of page
+   hashes times counts identifies the vector, so it is found for all pages of a host, however many, by one
+   mergeable sum per token.
+2. Tokens of a host with the same vector form an equivalence class. Classes that hold a structural token,
+   occur on a tenth of the host's pages or more and on three different pages at least are valid. They nest
+   by the spans of their elements, which are those of the paths: a text belongs to the template if one of
+   the elements around it is of its own class, so that each such element holds it. Such texts are removed;
+   the other blocks are the slots. The order of tokens inside an element is not tested.
 3. Slots below menus, headers, footers, sidebars, notices, adverts, forms and comments are closed. Of the
    rest, the slots inside an article or main element are the content; a page without text there takes
    all its open slots, whatever the other layouts of its host.
-4. Pages meet their host's template in a join and give the text of its content slots, block by block,
-   literals included where they lie inside content.
+4. Pages meet their host's template in a join and give the text of their content slots, block by block. A
+   block that holds any varying text is given whole.
 
 Defined results: null or blank html gives an empty text; a url without a host forms one group with the
-others of its kind; a page whose content slots are all absent is read by the tag rules of step 3 alone;
+others of its kind; a host with less than three different pages has no template, and a page whose open
+texts all belong to the template (as in a group of near copies) is read by the tag rules of step 3 alone;
 repeated rows get equal results; other columns are ignored.
 """
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -56,7 +58,6 @@ _PIECES = re.compile(
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-LITERAL_CHARS = 32
 
 
 def host(url: Column) -> Column:
@@ -115,104 +116,126 @@ def is_main(path: str) -> bool:
     return any(e.partition(".")[0] in MAIN or e.endswith(".main") for e in path.split("/"))
 
 
+def text_blocks(page: str | None) -> Iterator[tuple[str, str]]:
+    """(path, text) of each block of text, blanks folded, character references as they are."""
+    own: list[str] = []
+    place = ""
+    for path, text in walk(page):
+        if text is not None:
+            own.append(text)
+            place = path
+        elif own:
+            if said := " ".join("".join(own).split()):
+                yield place, said
+            own = []
+    if said := " ".join("".join(own).split()):
+        yield place, said
+
+
+def number(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def literal_number(path: str, said: str) -> int:
+    return number(f"{path}\n{said}")
+
+
 def page_tokens(page: str | None) -> Counter:
-    """Counts of the page's tokens; a literal is written behind ``\\x01`` after its path. The value under
-    ``(path, \"\")`` counts the characters of text directly in it."""
-    out: Counter = Counter()
+    """Counts of the page's tokens: (path, -1, -1) for an element, (None, number of the path, number of
+    path and text) for a block of text. The empty path stands for the page."""
+    out: Counter = Counter({("", -1, -1): 1})
     for path, text in walk(page):
-        if text is None:
-            if not path.endswith("!"):
-                out[path, None] += 1
-        elif said := " ".join(text.split()):
-            out[path, ""] += len(said)
-            if len(said) <= LITERAL_CHARS:
-                out[path, said] += 1
+        if text is None and not path.endswith("!"):
+            out[path, -1, -1] += 1
+    for path, said in text_blocks(page):
+        out[None, number(path), literal_number(path, said)] += 1
     return out
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, literal, pages, vector, mass: one row per token of a host. ``vector`` identifies the
-    occurrence vector over all pages of the host; ``mass`` counts characters."""
+    """host, path, place, literal, pages, times, first, last, vector: one row per token of a host.
+    ``vector`` identifies the occurrence vector over all pages of the host, ``first`` and ``last`` are the
+    smallest and the largest hash of its pages."""
+    names = ["host", "path", "place", "literal", "pages", "times", "first", "last", "high", "low"]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
-            for name, url, page in zip(batch["host"], batch["url"], batch["html"]):
-                key = xxhash.xxh64_intdigest(f"{url}\n{page}") >> 4
-                for (path, literal), n in page_tokens(page).items():
-                    own = sums[name, path, literal]
-                    own[0] += 1
-                    own[1] += key * n if literal != "" else 0
-                    own[2] += n if literal == "" else 0
-                own = sums[name, "", None]  # counts the host's pages
-                own[0], own[1] = own[0] + 1, own[1] + key
-            yield pd.DataFrame([(name, path, literal, n, (v >> 40) & 0xFFFFFFFFFF, v & 0xFFFFFFFFFF, mass)
-                                for (name, path, literal), (n, v, mass) in sums.items()],
-                               columns=["host", "path", "literal", "pages", "high", "low", "mass"])
-
-    rows = pages.select(host(F.col("url")).alias("host"), "url", "html").mapInPandas(
-        work, "host string, path string, literal string, pages long, high long, low long, mass long")
+            sums: dict[tuple, list[int]] = {}
+            for name, page in zip(batch["host"], batch["html"]):
+                key = number(page or "") >> 3
+                for token, n in page_tokens(page).items():
+                    own = sums.get((name, *token))
+                    if own is None:
+                        sums[name, *token] = [1, n, key, key, key * n]
+                    else:
+                        own[0] += 1
+                        own[1] += n
+                        own[2] = min(own[2], key)
+                        own[3] = max(own[3], key)
+                        own[4] += key * n
+            yield pd.DataFrame([(*token, *rest, v >> 40, v & 0xFFFFFFFFFF) for token, (*rest, v) in sums.items()], columns=names)
+
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(
+        work, "host string, path string, place long, literal long, pages long, times long, first long, last long, high long, low long")
     total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    return rows.groupBy("host", "path", "literal").agg(
-        F.sum("pages").alias("pages"), (total("high") * 1099511627776 + total("low")).cast("decimal(38,0)").alias("vector"),
-        F.sum("mass").alias("mass"))
+    return rows.groupBy(*names[:4]).agg(
+        F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.min("first").alias("first"), F.max("last").alias("last"),
+        (total("high") * 1099511627776 + total("low")).cast("decimal(38,0)").alias("vector"))
 
 
 def host_templates(tokens: DataFrame, support: float = 0.1) -> DataFrame:
-    """host, content (paths of content slots) and classes (number of valid classes). Only tokens on a
-    tenth of the pages or more are gathered per host: at most ten times the tokens of a mean page."""
-    sizes = tokens.filter("path = '' AND literal IS NULL").select("host", F.col("pages").alias("host_pages"))
-    frequent = tokens.filter("path != ''").join(sizes, "host").filter(F.col("pages") >= F.col("host_pages") * support)
+    """host, literals (numbers of the template's texts) and classes (number of valid classes). Only tokens on
+    a tenth of the pages or more are gathered per host: at most ten times the tokens of a mean page."""
+    sizes = tokens.filter("path = ''").select("host", F.col("pages").alias("host_pages"))
+    frequent = tokens.join(sizes, "host").filter(F.col("pages") >= F.col("host_pages") * support)
 
     def nest(hosts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in hosts:
-            yield pd.DataFrame([(name, *slots(tuples)) for name, tuples in zip(rows["host"], rows["tokens"])],
-                               columns=["host", "content", "classes"])
+            yield pd.DataFrame([(name, *template(tuples)) for name, tuples in zip(rows["host"], rows["tokens"])],
+                               columns=["host", "literals", "classes"])
 
     listed = frequent.groupBy("host").agg(F.collect_list(F.struct(
-        "path", "literal", F.col("vector").cast("string").alias("vector"), "mass")).alias("tokens"))
-    return listed.mapInPandas(nest, "host string, content array<string>, classes int")
+        "path", "place", "literal", "times", "first", "last", F.col("vector").cast("string").alias("vector"))).alias("tokens"))
+    return listed.mapInPandas(nest, "host string, literals array<long>, classes int")
+
 
+def is_repeated(token: dict) -> bool:
+    """Does the token occur on three different pages or more? If there are but two, with hashes ``first`` and
+    ``last``, the vector is a sum of these two."""
+    first, last = int(token["first"]), int(token["last"])
+    return first != last and (int(token["vector"]) - first * int(token["times"])) % (last - first) != 0
 
-def slots(tokens: list[dict]) -> tuple[list[str], int]:
-    """Valid classes of one host, nested, and the containers whose slots are content."""
+
+def template(tokens: list[dict]) -> tuple[list[int], int]:
+    """The texts of one host's template, and the number of its valid classes."""
     classes: dict[str, list[dict]] = defaultdict(list)
     for token in tokens:
-        if token["literal"] != "":
-            classes[token["vector"]].append(token)
-    valid = {v: ts for v, ts in classes.items() if any(t["literal"] is None for t in ts)}
-    owner = {t["path"]: v for v, ts in valid.items() for t in ts if t["literal"] is None}
-    mains: list[str] = []
-    for path in sorted(owner):
-        elements = path.split("/")
-        if is_closed(path):
-            continue
-        if is_main(elements[-1]) and not is_main("/".join(elements[:-1])):
-            mains.append(path)
-    return sorted(mains), len(valid)
-
-
-def main_text(page: str | None, content: list[str] | None) -> str:
-    """Blocks of the page's content slots, joined by newlines."""
-    places = tuple(content or ())
-    below = tuple(p + "/" for p in places)
-    pieces = list(walk(page))
-
-    def collect(inside) -> list[str]:
-        blocks, own, known = [], [], {}
-        for path, text in pieces:
-            if text is None:
-                if own:
-                    blocks.append("".join(own))
-                    own = []
+        classes[token["vector"]].append(token)
+    valid = {v: ts for v, ts in classes.items() if any(t["path"] is not None for t in ts) and is_repeated(ts[0])}
+    owner = {t["path"]: v for v, ts in valid.items() for t in ts if t["path"] is not None}
+    places = {number(t["path"]): t["path"] for t in tokens if t["path"] is not None}
+    literals = []
+    for vector, members in valid.items():
+        for token in members:
+            if token["path"] is not None:
                 continue
-            if path not in known:
-                known[path] = not is_closed(path) and inside(path)
-            if known[path]:
-                own.append(text)
-        return [said for b in [*blocks, "".join(own)] if (said := " ".join(entities.unescape(b).split()))]
+            # nested: one of the containers around the text is of the text's own class
+            elements = places[token["place"]].split("/")
+            if any(owner.get("/".join(elements[:depth])) == vector for depth in range(len(elements) + 1)):
+                literals.append(token["literal"])
+    return sorted(literals), len(valid)
+
 
-    inside_main = lambda path: path in places or path.startswith(below) or is_main(path)
-    return "\n".join(collect(inside_main) or collect(lambda path: True))
+def main_text(page: str | None, literals: Iterable[int] | None) -> str:
+    """The page's content, a line per block, without the blocks that are texts of the template."""
+    known = frozenset(() if literals is None else literals)
+    blocks = [(path, said) for path, said in text_blocks(page) if not is_closed(path)]
+    varying = [(path, said) for path, said in blocks if not known or literal_number(path, said) not in known]
+    for found in (varying, blocks):
+        for chosen in ([said for path, said in found if is_main(path)], [said for _, said in found]):
+            if lines := [line for said in chosen if (line := " ".join(entities.unescape(said).split()))]:
+                return "\n".join(lines)
+    return ""
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -221,11 +244,11 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [main_text(p, None if c is None else list(c)) for p, c in zip(batch["html"], batch["content"])]
+            texts = [main_text(p, c) for p, c in zip(batch["html"], batch["literals"])]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts,
                                 "n_chars": np.array([len(t) for t in texts], np.int64)})
 
     met = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(templates, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return met.select("page_id", "url", "html", "content").mapInPandas(
+    return met.select("page_id", "url", "html", "literals").mapInPandas(
         work, f"page_id {kind}, url string, text string, n_chars long")

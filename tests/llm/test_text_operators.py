@@ -244,6 +244,27 @@ def test_pages_without_article_keep_all_open_slots(rows):
     assert {r.page_id: r.text for r in got} == want
 
 
+def test_template_text_is_no_content(rows):
+    """Texts of all pages of a host or of one layout go, short and long ones; what varies stays, also beside them."""
+    long = "Write to us and we will send you the weekly letter with all the new texts of this place."
+    want, data = {}, []
+    for i in range(12):
+        extra, line = ("", "") if i % 2 else (f'<div class="k2"><p>Seen on film</p><p>Film {i}</p></div>', f"\nFilm {i}")
+        want[i] = f"Title {i}\n{words_of(i)}\nBy Author {i}{line}"
+        data.append((i, "http://h.org", f'<body><article><h1>Title {i}</h1><div class="x17">Read <b>this</b></div><p>{words_of(i)}</p>'
+                     f"<p>By <b>Author {i}</b></p><div>{long}</div>{extra}</article></body>"))
+        want[20 + i] = f"Title {i}\n{words_of(i)}"  # no article; the article that is there never varies
+        data.append((20 + i, "http://k.org", f'<body><article>{long}</article><h2>Title {i}</h2><p>{words_of(i)}</p></body>'))
+    for i in range(6):  # copies of one page, and near copies, are no template
+        want[40 + i], want[50 + i] = f"Alone\n{words_of(1)}", "Same\nText"
+        data.append((40 + i, "http://c.org", f"<body><article><h1>Alone</h1><p>{words_of(1)}</p></article></body>"))
+        data.append((50 + i, "http://n.org", f"<head><title>{i}</title></head><body><article><h1>Same</h1><p>Text</p></article></body>"))
+    want[60] = "Other"
+    data.append((60, "http://c.org", "<body><article><h1>Other</h1></article></body>"))
+    got = html_text.extract_main_text(rows("page_id long, url string, html string", *data)).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 # decontamination
 def test_banded_alignment_brute_force():
     import random
