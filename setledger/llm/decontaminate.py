@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Items and texts are folded (letters lower-cased, each white space character a blank). An item is cut
-into overlapping patterns of ``PATTERN`` characters; a text leaks the item if it holds a pattern with at
+into overlapping patterns of ``PATTERN`` and of ``PASSAGE`` characters, each less than its edits after the
+last; a text leaks the item if it holds a pattern with at
 most ``RATE`` of its length in edits. By the q-gram lemma such an occurrence shares at least
 ``m - q + 1 - k q`` q-grams with the pattern, and all of them lie on diagonals that differ by k at most.
 So shared q-grams are counted in overlapping diagonal bands of width 2k; bands that meet the bound are
@@ -11,7 +12,8 @@ The benchmark is taken in blocks of at most ``BLOCK_CHARS`` characters, each sen
 with every text; a larger benchmark means more passes, not a larger broadcast. Texts are never shuffled.
 
 Defined results: a null or empty text or item has no leak; an item with fewer than q characters is too
-short to be a passage and never matches; repeated documents and repeated items each get their rows;
+short to be a passage and never matches; a verbatim part of ``PASSAGE`` characters, wherever it begins in
+its item, leaks the item, a shorter part of a longer item need not; an item of less leaks as a whole only; repeated documents and repeated items each get their rows;
 equal alignments go to the earliest place; empty tables give no leak; other columns are ignored.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ from setledger.llm.common import code_points, slices
 Q = 9
 RATE = 0.08
 PATTERN = 100
+#: Smallest part of a longer item that counts.
+PASSAGE = 80
 BLOCK_CHARS = 2_000_000
 _GATE_BITS = 22
 _BASE = 1_000_003
@@ -68,12 +72,14 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     return mixed
 
 
-def patterns(length: int, size: int = PATTERN) -> list[tuple[int, int]]:
-    """Overlapping stretches of an item, the last one at its end."""
-    if length <= size:
-        return [(0, length)] if length else []
-    starts = list(range(0, length - size, size // 2)) + [length - size]
-    return [(s, s + size) for s in starts]
+def patterns(length: int) -> list[tuple[int, int]]:
+    """Overlapping stretches of an item, of both sizes, the last of each at its end."""
+    out = set()
+    for size in (PATTERN, PASSAGE):
+        stride = int(RATE * size)
+        starts = [*range(0, length - size, stride), length - size] if length > size else [0]
+        out.update((s, min(s + size, length)) for s in starts if length)
+    return sorted(out)
 
 
 def budget(length: int, rate: float = RATE, q: int = Q) -> tuple[int, int]:
@@ -84,6 +90,14 @@ def budget(length: int, rate: float = RATE, q: int = Q) -> tuple[int, int]:
     return edits, length - q + 1 - edits * q
 
 
+@lru_cache(maxsize=10_000)
+def pattern_bounds(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of an item's patterns, and the shared q-grams that each demands; only those that
+    can match."""
+    rows = [(start, end, bound) for start, end in patterns(length) if (bound := budget(end - start)[1])]
+    return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
+
+
 class ItemIndex:
     """q-grams of a block of items."""
 
@@ -131,7 +145,7 @@ class ItemIndex:
             return out
         diagonal = place - offset
         width = max(1, 2 * int(RATE * PATTERN))
-        least = min((budget(min(len(t), PATTERN))[1] for _, t in self.items if len(t) >= self.q), default=1)
+        least = min((int(pattern_bounds(n)[2].min()) for n in {len(t) for _, t in self.items} if n >= self.q), default=1)
         for shift in (0, width // 2):
             band = (diagonal + shift) // width
             key = np.lexsort((offset, band, item, text))
@@ -141,11 +155,10 @@ class ItemIndex:
             enough = ends - edge >= least
             for first, last in zip(edge[enough], ends[enough]):
                 places = np.unique(o[first:last])
-                for start, end in patterns(len(self.items[i[first]][1])):
-                    edits, bound = budget(end - start)
-                    shared = np.searchsorted(places, end - self.q, side="right") - np.searchsorted(places, start)
-                    if bound and shared >= bound:
-                        out[int(t[first]), int(i[first])].add((start, end, int(b[first]) * width - shift))
+                begin, end, bound = pattern_bounds(len(self.items[i[first]][1]))
+                shared = np.searchsorted(places, end - self.q, side="right") - np.searchsorted(places, begin)
+                for k in np.flatnonzero(shared >= bound):
+                    out[int(t[first]), int(i[first])].add((int(begin[k]), int(end[k]), int(b[first]) * width - shift))
         return out
 
     def _verified(self, folded, regions) -> list[tuple[int, int, int, int, int]]:

@@ -305,6 +305,20 @@ def test_leaks(rows, spark, odd, empty):
     assert len(blocks) > 1 and sum(map(len, blocks)) == 40
 
 
+@pytest.mark.parametrize("size", [100, 300])
+def test_parts_of_items_at_every_offset(size):
+    import random
+    rng = random.Random(9)
+    item, noise = ("".join(rng.choice("abcdefghijkl ") for _ in range(n)) for n in (size, 500))
+    index = decontaminate.ItemIndex([(1, item)])
+    for length in (decontaminate.PASSAGE, 95, 115, 180):
+        texts = [noise[:60] + item[k:k + length] + noise[60:120] for k in range(size - length + 1)]
+        assert [row[0] for row in index.leaks(texts)] == list(range(len(texts)))
+    assert index.leaks([noise, noise[:60] + item[10:70] + noise[60:]]) == []
+    edited = [noise[:60] + item[k:k + 40] + "##" + item[k + 42:k + 80] + noise[60:] for k in range(size - 79)]
+    assert len(index.leaks(edited)) == len(edited)
+
+
 def test_every_whole_item_is_found(spark):
     docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
     items = {r.item_id: r.text for r in table(spark, "/root/testdata/sf0.01", "benchmark").collect()}
