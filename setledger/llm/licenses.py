@@ -2,7 +2,9 @@
 
 A rule is a regular expression over the lower-cased (A-Z) text, its label, a priority, a confidence and
 the literal keywords without which it cannot match. One automaton pass over a text finds the keywords;
-only rules with all their keywords present are run. A detection that lies inside the interval of a
+only rules with all their keywords present are run. Keywords are single words, and the words of a name or
+notice may be wrapped over lines, behind comment marks. A citation ("licensed under ...") of a family has a
+priority and a confidence of its own, but no label that the bare name lacks. A detection that lies inside the interval of a
 better one (higher priority, then longer, then earlier rule) is suppressed. Base detections always stay.
 
 Defined results: null is the empty text; repeated rows each get their own result; a text without a
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -25,6 +27,9 @@ from setledger.llm.common import ALNUM_WORDS, lower_ascii
 
 _LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between two words of a name or notice: blanks, or a line break with the comment marks around it.
+_WRAP = (r"(?:[^\S\r\n]*+(?:[*#/;%!|]++|-->)?+[^\S\r\n]*+[\r\n]\s*+(?:(?:<!--|[*#/;%!|>\"'-]++|(?:dnl|rem)\b)\s*+)*+"
+         r"|[^\S\r\n]++)")
 
 #: Base phrases and their labels (fixed values of the contract).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -143,13 +148,22 @@ class Detection(NamedTuple):
     word: int
 
 
+def wrapped(pattern: str) -> str:
+    """The expression with every blank, also that of ``[- ]``, as a gap that may hold a line break."""
+    return pattern.replace("[- ]", "(?:- ?| )").replace(" ", _WRAP)
+
+
+def single_words(keywords: Iterable[str]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(word for key in keywords for word in key.split()))
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order: base phrases, notices, identifiers, then families by template."""
     edge, end = f"(?<!{_LETTER})", f"(?!{_LETTER})"
     made = [(label, tuple(phrase.split()), edge + _GAP.join(phrase.split()) + end, 50, 0.9, True)
             for phrase, label in BASE.items()]
-    made += [(label, keys, pattern, priority, sure, False) for label, keys, pattern, priority, sure in NOTICES]
+    made += [(label, single_words(keys), wrapped(pattern), priority, sure, False) for label, keys, pattern, priority, sure in NOTICES]
     for label in dict.fromkeys(f[0] for f in FAMILIES):
         made.append((label, ("spdx", label.split("-")[0]),
                      rf"spdx-license-identifier:\s*{re.escape(label)}(?:-\d\.\d)?(?:-only|-or-later)?{end}", 45, 0.99, False))
@@ -157,7 +171,7 @@ def rules() -> tuple[Rule, ...]:
         for label, literal, name in FAMILIES:
             always = re.sub(r"\(\?:[^()]*\)\?", "", name)
             keys = (literal, key, "licen" if "licen" in always else "")
-            made.append((label, tuple(k for k in keys if k), edge + around.format(name=name) + end, priority, sure, False))
+            made.append((label, single_words(keys), edge + wrapped(around.format(name=name)) + end, priority, sure, False))
     return tuple(Rule(i, label, keys, re.compile(pattern), priority, sure, base)
                  for i, (label, keys, pattern, priority, sure, base) in enumerate(made))
 

@@ -57,6 +57,26 @@ def test_license_suppression():
     assert len(licenses.rules()) > 200 and licenses.detect(None) == (0, [])
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", ";; ", "-- ", "dnl ", "    ", "> ", "\r"])
+@pytest.mark.parametrize("label, text", [
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification"),
+    ("gpl", "as published by the Free Software Foundation"), ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy"), ("mit", "the MIT License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software"), ("bsd-3-clause", "3-clause BSD License"),
+    ("gpl-2.0", "GNU General Public License, version 2"), ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0")])
+def test_wrapped_notices(mark, label, text):
+    words = text.split()
+    for k in range(1, len(words)):
+        for end in ("\n", " */\n/*" if mark == " * " else "\n"):
+            assert label in {d.label for d in licenses.detect(" ".join(words[:k]) + end + mark + " ".join(words[k:]))[1]}
+    assert label in {d.label for d in licenses.detect(("\n" + mark).join(words))[1]}
+
+
+def test_gaps_hold_no_words():
+    assert licenses.detect("mit new\nlicense, mit.\nlicense and free # software * foundation")[1] == []
+    assert licenses.detect("licensed under" + " \n * " * 50_000 + "x apache" + " " * 50_000)[1] == []
+
+
 # quality
 def test_repeat_words_brute_force():
     for text in ("", "a b c", "a b c a b c", "a a a a", "x y z w x y q x y z"):
