@@ -116,11 +116,11 @@ def is_main(path: str) -> bool:
     return any(e.partition(".")[0] in MAIN or e.endswith(".main") for e in path.split("/"))
 
 
-def text_blocks(page: str | None) -> Iterator[tuple[str, str]]:
-    """(path, text) of each block of text, blanks folded, character references as they are."""
+def text_blocks(pieces: Iterable[tuple[str, str | None]]) -> Iterator[tuple[str, str]]:
+    """(path, text) of each block of text of a walk, blanks folded, character references as they are."""
     own: list[str] = []
     place = ""
-    for path, text in walk(page):
+    for path, text in pieces:
         if text is not None:
             own.append(text)
             place = path
@@ -144,10 +144,11 @@ def page_tokens(page: str | None) -> Counter:
     """Counts of the page's tokens: (path, -1, -1) for an element, (None, number of the path, number of
     path and text) for a block of text. The empty path stands for the page."""
     out: Counter = Counter({("", -1, -1): 1})
-    for path, text in walk(page):
+    pieces = list(walk(page))
+    for path, text in pieces:
         if text is None and not path.endswith("!"):
             out[path, -1, -1] += 1
-    for path, said in text_blocks(page):
+    for path, said in text_blocks(pieces):
         out[None, number(path), literal_number(path, said)] += 1
     return out
 
@@ -229,7 +230,7 @@ def template(tokens: list[dict]) -> tuple[list[int], int]:
 def main_text(page: str | None, literals: Iterable[int] | None) -> str:
     """The page's content, a line per block, without the blocks that are texts of the template."""
     known = frozenset(() if literals is None else literals)
-    blocks = [(path, said) for path, said in text_blocks(page) if not is_closed(path)]
+    blocks = [(path, said) for path, said in text_blocks(walk(page)) if not is_closed(path)]
     varying = [(path, said) for path, said in blocks if not known or literal_number(path, said) not in known]
     for found in (varying, blocks):
         for chosen in ([said for path, said in found if is_main(path)], [said for _, said in found]):
