@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from setledger.llm import (chat, decontaminate, html_text, language, licenses, line_duplicates, mixing, near_duplicates,
-                           quality, toxicity)
+                           quality, simhash, toxicity)
 from setledger.llm.common import held_out, table
 
 #: The conversation that the contract adds (fixed values).
@@ -63,8 +63,13 @@ def op10_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_duplicates.line_report(table(spark, folder, "documents"))
 
 
+def op11_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_license_scan, op2_quality_rules, op3_chat_format, op4_mix_sources, op5_toxicity,
-                            op6_language, op7_main_text, op8_near_duplicates, op9_benchmark_leaks, op10_repeated_lines)}
+                            op6_language, op7_main_text, op8_near_duplicates, op9_benchmark_leaks, op10_repeated_lines,
+                            op11_simhash_groups)}
 
 SQL: dict[str, str] = {"op4_mix_sources": mixing.taken_sql()}
