@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from setledger.llm import (chat, decontaminate, html_text, language, licenses, line_duplicates, mixing, near_duplicates,
-                           quality, simhash, toxicity)
+from setledger.llm import (chat, decontaminate, html_text, language, lexical_search, licenses, line_duplicates, mixing,
+                           near_duplicates, quality, resample, simhash, toxicity)
 from setledger.llm.common import held_out, table
 
 #: The conversation that the contract adds (fixed values).
@@ -67,9 +67,18 @@ def op11_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+def op12_target_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_license_scan, op2_quality_rules, op3_chat_format, op4_mix_sources, op5_toxicity,
                             op6_language, op7_main_text, op8_near_duplicates, op9_benchmark_leaks, op10_repeated_lines,
-                            op11_simhash_groups)}
+                            op11_simhash_groups, op12_target_resample, op13_lexical_search)}
 
-SQL: dict[str, str] = {"op4_mix_sources": mixing.taken_sql()}
+SQL: dict[str, str] = {"op4_mix_sources": mixing.taken_sql(), "op12_target_resample": resample.resample_sql(),
+                       "op13_lexical_search": lexical_search.search_sql()}

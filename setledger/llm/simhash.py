@@ -89,7 +89,9 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"], "fp": [fingerprint(t, width) for t in part["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pin(docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, fp long"))
+    # ids travel as text: pandas would turn a column of numbers with nulls into floats
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(work, "doc_id string, fp long")
+    return pin(rows.select(F.col("doc_id").cast(kind), "fp"))
 
 
 def connected(links: DataFrame) -> DataFrame:
