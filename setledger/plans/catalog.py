@@ -15,8 +15,8 @@ from setledger.operators import (activity, coaching, crawl, documents, evaluatio
                                  retrieval, rules, sessions, vectorize)
 from setledger.plans import training
 from setledger.session import pin, scratch_path
-from setledger.sources import corpus, fixtures as A, index, tables
-from setledger.streaming import jobs
+from setledger.sources import corpus, files, fixtures as A, index, tables
+from setledger.streaming import jobs, quota
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,7 @@ CHAT_TURNS = 4
 QUOTA = 3
 ROUTER_ROWS = 60
 STREAK = 2
+SLICES = 50
 
 
 def query(fn: Query) -> Query:
@@ -788,3 +789,39 @@ def stream_profiles(spark, sf):
     saves = _event_stream(spark, sf).select("user_id", F.col("event_type").alias("goal"), F.col("ts").alias("updated_at"))
     _drain(saves, jobs.profile_sink(folder), "profiles")
     return jobs.current_profiles(spark, folder).select("user_id", "goal")
+
+
+def _arrival_stream(spark, sf):
+    """The events in many files, one per batch, with late and repeated ones."""
+    folder = scratch_path(spark, "arrivals")
+    rows = A.arrivals(spark, sf, SLICES)
+    rows.repartition(SLICES, "slice").write.partitionBy("slice").parquet(folder)
+    present = [r["slice"] for r in rows.select("slice").distinct().orderBy("slice").collect()]
+    files.set_age_order(spark, [f"{folder}/slice={number}" for number in present])
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query
+def stream_quota_state(spark, sf):
+    """The quota as keyed state over many batches; prompts are answered in order of arrival."""
+    folder, checkpoint = scratch_path(spark, "answers"), scratch_path(spark, "answers-checkpoint")
+    prompts = _arrival_stream(spark, sf).select("event_id", "user_id", "ts")
+    quota.start_quota(prompts, folder, checkpoint, QUOTA).awaitTermination()
+    return show(quota.read_answers(spark, folder))
+
+
+@query
+def stream_lift_state_batches(spark, sf):
+    """The folded lift state after many batches."""
+    folder = scratch_path(spark, "lifts")
+    _drain(A.as_workouts(_arrival_stream(spark, sf)), jobs.lift_state_sink(folder), "lifts")
+    return show(jobs.lift_state(spark, folder).select("user_id", "exercise", "row_id", "weight", "logged_at"))
+
+
+@query
+def stream_profiles_batches(spark, sf):
+    """The folded profiles after many batches."""
+    folder = scratch_path(spark, "profiles")
+    saves = _arrival_stream(spark, sf).select("user_id", F.col("event_type").alias("goal"), F.col("ts").alias("updated_at"))
+    _drain(saves, jobs.profile_sink(folder), "profiles")
+    return jobs.current_profiles(spark, folder).select("user_id", "goal")

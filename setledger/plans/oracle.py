@@ -603,3 +603,11 @@ add("stream_lift_state", f"""SELECT user_id, exercise, row_id, weight, {iso('log
   SELECT *, row_number() OVER (PARTITION BY user_id, exercise ORDER BY {_NEWEST}) AS n FROM v_workouts ) WHERE n = 1""")
 add("stream_predictions", "SELECT row_id, predicted_next_weight, recommended_increment FROM v_ruled ")
 add("stream_profiles", "SELECT user_id, arg_max(event_type, ts) AS goal FROM events GROUP BY user_id")
+
+# 50 slices; three prompts a day; in order of arrival, then of time
+add("stream_quota_state", f"""SELECT event_id, user_id, {day('ts')} AS day, n <= 3 AS allowed, least(n, 3) AS used FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY slice, ts, event_id) AS n FROM (
+    SELECT *, least(event_id * 50 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 7 = 3 THEN 1 ELSE 0 END, 49) AS slice
+    FROM events))""")
+SQL["stream_lift_state_batches"] = SQL["stream_lift_state"]
+SQL["stream_profiles_batches"] = SQL["stream_profiles"]

@@ -182,3 +182,16 @@ def masked_vectors(spark: SparkSession, folder: str) -> DataFrame:
     scored = table(spark, folder, "labels").select(F.col("doc_id").alias("vec_id"), "quality")
     return table(spark, folder, "embeddings").join(scored, "vec_id", "left").select(
         "vec_id", "label", "embedding", F.coalesce("quality", F.lit(1)).alias("mask"))
+
+
+def arrivals(spark: SparkSession, folder: str, slices: int) -> DataFrame:
+    """Events in the order in which they might arrive: ``slice`` follows the event ids, some events come one slice
+    late, and some are delivered again three slices later."""
+    key = F.col("event_id")
+    events = table(spark, folder, "events")
+    total = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    placed = events.withColumn("_due", F.floor(key * slices / total))
+    late = F.when(key % 7 == 3, 1).otherwise(0)
+    first = placed.withColumn("slice", F.least(F.col("_due") + late, F.lit(slices - 1)))
+    again = placed.filter(key % 10 == 0).withColumn("slice", F.least(F.col("_due") + 3, F.lit(slices - 1)))
+    return first.union(again).select(*events.columns, F.col("slice").cast("int"))

@@ -1,9 +1,9 @@
 """Streaming forms of log ingest, lift state, daily quota, online prediction and profiles.
 
 Each micro-batch runs the batch operators inside ``foreachBatch`` and writes one folder named
-by the batch id, so a repeated batch replaces its own output. State that must outlive a batch is
-a table of earlier outputs in the sink, read back with a key or day filter; no single task holds
-all rows of a busy key.
+by the batch id, so a repeated batch replaces its own output. The newest row of every key is kept as a
+snapshot and a few deltas (``state``). The quota has two forms: ``quota_sink`` counts the day folders of earlier
+batches, ``quota.start_quota`` keeps keyed state and reads nothing back. No single task holds all rows of a busy key.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from setledger.functions.vocabulary import DAILY_PROMPTS
 from setledger.operators.activity import accepted_entries, rejected_entries
 from setledger.operators.rules import predict_by_rule
 from setledger.sources.tables import exists
+from setledger.streaming.state import EVERY, FoldedState
 
 
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
@@ -63,16 +64,13 @@ def newest_rows(rows: DataFrame) -> DataFrame:
         "user_id", "exercise", "r.*")
 
 
-def lift_state_sink(folder: str) -> Callable[[DataFrame, int], None]:
-    """Newest row per user and exercise after each batch: one changed row per key and batch; the
-    current state is the newest over all of them."""
-    def sink(rows: DataFrame, batch: int) -> None:
-        _write_batch(newest_rows(rows), folder, batch)
-    return sink
+def lift_state_sink(folder: str, every: int = EVERY) -> Callable[[DataFrame, int], None]:
+    """Newest row per user and exercise: a snapshot and the changed rows of the batches since."""
+    return FoldedState(folder, newest_rows, every).sink
 
 
 def lift_state(spark: SparkSession, folder: str) -> DataFrame:
-    return newest_rows(spark.read.parquet(folder).drop("batch_id"))
+    return FoldedState(folder, newest_rows).current(spark)
 
 
 def quota_sink(folder: str, limit: int = DAILY_PROMPTS) -> Callable[[DataFrame, int], None]:
@@ -122,12 +120,10 @@ def last_saved(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("user_id").agg(F.max_by(F.struct(*columns), newest).alias("p")).select("user_id", "p.*")
 
 
-def profile_sink(folder: str) -> Callable[[DataFrame, int], None]:
-    """Last save wins: one row per user and batch."""
-    def sink(profiles: DataFrame, batch: int) -> None:
-        _write_batch(last_saved(profiles), folder, batch)
-    return sink
+def profile_sink(folder: str, every: int = EVERY) -> Callable[[DataFrame, int], None]:
+    """Last save wins: a snapshot and the saves of the batches since, one row per user each."""
+    return FoldedState(folder, last_saved, every).sink
 
 
 def current_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    return last_saved(spark.read.parquet(folder).drop("batch_id"))
+    return FoldedState(folder, last_saved).current(spark)

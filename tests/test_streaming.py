@@ -1,9 +1,11 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
+import pytest
 
 from setledger.operators.activity import daily_quota
-from setledger.streaming import jobs
+from setledger.sources.files import numbered
+from setledger.streaming import jobs, quota
+from setledger.streaming.state import FoldedState
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -62,3 +64,53 @@ def test_last_profile_wins(spark, tmp_path):
                   [[(1, "a", DAY), (1, "b", DAY + dt.timedelta(1))], [(2, "c", DAY), (1, "late", DAY)]])
     jobs.run_available(stream, jobs.profile_sink(str(tmp_path / "o")), str(tmp_path / "cp"))
     assert {(r.user_id, r.goal) for r in jobs.current_profiles(spark, str(tmp_path / "o")).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_folded_state_reads_no_more_with_every_batch(spark, tmp_path):
+    folder, rows, read = str(tmp_path / "s"), [], []
+    state = FoldedState(folder, jobs.last_saved, every=4)
+    schema = "user_id int, goal string, updated_at timestamp_ntz"
+    for batch in range(30):
+        new = [(u, f"{batch}", DAY + dt.timedelta(hours=batch if batch % 3 else batch - 5)) for u in (batch % 5, 7)]
+        rows += new
+        frame = spark.createDataFrame(new, schema).coalesce(1)
+        state.sink(frame, batch)
+        if batch in (10, 11):  # the same batch again, before and at a fold
+            state.sink(frame, batch)
+        read.append(len(state.paths(spark)))
+    assert max(read[15:]) == max(read[5:15]) <= 1 + 2 * 4
+    assert max(len(numbered(spark, f"{folder}/{part}")) for part in ("delta", "snapshot", "versions")) <= 2 * 4
+    want = {tuple(r) for r in jobs.last_saved(spark.createDataFrame(rows, schema)).collect()}
+    assert {tuple(r) for r in state.current(spark).collect()} == want
+
+
+def test_fold_that_broke_off(spark, tmp_path):
+    folder, schema = str(tmp_path / "s"), "user_id int, goal string, updated_at timestamp_ntz"
+    state = FoldedState(folder, jobs.last_saved, every=3)
+    for batch in range(5):
+        state.sink(spark.createDataFrame([(batch, "a", DAY)], schema), batch)
+    spark.createDataFrame([(99, "half", DAY)], schema).write.parquet(f"{folder}/snapshot/5")  # no marker
+    assert state.paths(spark)[0].endswith("/snapshot/2")
+    state.sink(spark.createDataFrame([(5, "a", DAY)], schema), 5)
+    assert {r.user_id for r in state.current(spark).collect()} == set(range(6))
+    with pytest.raises(ValueError):
+        FoldedState(str(tmp_path / "none"), jobs.last_saved).current(spark)
+
+
+def test_quota_state(spark, tmp_path):
+    """Repeats get no second place, late prompts count for their own day, and old days leave the state."""
+    at = lambda day, hour: DAY + dt.timedelta(days=day, hours=hour)
+    batches = [
+        [(2, 1, at(0, 2)), (1, 1, at(0, 1)), (3, 1, at(0, 3)), (1, 1, at(0, 1))],  # 1 twice in a batch
+        [(1, 1, at(0, 1)), (3, 1, at(0, 3)), (4, 2, at(1, 1))],  # 1 accepted before, 3 turned away before
+        [(5, 2, at(0, 5)), (6, 2, at(1, 2)), (7, 2, at(1, 3))],  # 5 is a day late
+        [(8, 1, at(9, 0))], [(9, 1, at(9, 1))], [(10, 1, at(9, 2))]]
+    stream = feed(spark, str(tmp_path / "in"), "event_id bigint, user_id bigint, ts timestamp_ntz", batches)
+    stream_query = quota.start_quota(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 2)
+    stream_query.awaitTermination()
+    got = {r.event_id: (r.user_id, r.allowed, r.used) for r in quota.read_answers(spark, str(tmp_path / "out")).collect()}
+    assert got == {1: (1, True, 1), 2: (1, True, 2), 3: (1, False, 2), 4: (2, True, 1), 5: (2, True, 1), 6: (2, True, 2),
+                   7: (2, False, 2), 8: (1, True, 1), 9: (1, True, 2), 10: (1, False, 2)}
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in stream_query.recentProgress]
+    assert kept[-1] < max(kept)  # only the ninth day is left
+    assert spark.conf.get(quota.PROVIDER_KEY, None) != quota.ROCKSDB
