@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from setledger.functions import vocabulary as V
+from setledger.functions.text import normalize_text
+from setledger.functions.vocabulary import LIFT_ALIASES
 from setledger.operators import activity, coaching as C, crawl
 
 DAY = dt.datetime(2024, 1, 1)
@@ -50,6 +53,59 @@ def test_same_second_goes_to_the_earlier_row(rows, log):
     assert C.target_lifts(ask(rows, "my squat"), workouts).first().row_id == 0
 
 
+def brute_target(question, log):
+    """The three passes over all names of the user, on (exercise, hour, row_id)."""
+    plain = lambda t: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split())
+    newest = {}
+    for exercise, hour, row in log:
+        if exercise not in newest or hour > newest[exercise][0]:
+            newest[exercise] = (hour, row)
+    asked, best = plain(question), []
+    words = set(asked.split())
+    for exercise, (hour, row) in newest.items():
+        name = plain(exercise)
+        score = len(words & set(name.split())) + (3 if name and name in asked else 0)
+        if exercise.strip() and (score or not name):
+            best.append((1, -score, -hour, row))
+        lifts = [i for i, (lift, aliases) in enumerate(LIFT_ALIASES.items())
+                 if lift in words and any(a in exercise.lower() for a in aliases)]
+        best += [(2, lifts[0], -hour, row)] if lifts else []
+        best.append((3, 0, -hour, row))
+    return min(best)[0], min(best)[3]
+
+
+def test_targets_against_all_pairs(spark, rows, log):
+    rng = random.Random(6)
+    parts = ["row", "press", "bench", "squat", "ab", "x", "T-bar", "(Barbell)", "low", "deadlift", "curl", "tom", "up", "..."]
+    made = [(u, " ".join(rng.choices(parts, k=rng.randint(1, 3))), rng.randint(0, 400)) for u in range(4) for _ in range(40)]
+    made += [(0, "--", 500), (1, "  ", 501)]
+    made = [(u, e, h + k / 1000) for k, (u, e, h) in enumerate(made)]
+    workouts = rows(LOG, *[(k, u, e, 3, 5, 100.0, DAY.date(), None, None, DAY + dt.timedelta(hours=int(h), seconds=k))
+                           for k, (u, e, h) in enumerate(made)])
+    lines = ["".join(rng.choice([" ", "", "-"]) + w for w in rng.choices(parts + ["tomorrow", "workbench", "next", "pressing"], k=rng.randint(0, 5)))
+             for _ in range(60)]
+    questions = spark.createDataFrame([(k, k % 4, q) for k, q in enumerate(lines)], "question_id int, user_id int, question string")
+    got = {r.question_id: (r["pass"], r.row_id) for r in C.target_lifts(questions, workouts).collect()}
+    want = {k: brute_target(q, [(e, int(h) * 3600 + n, n) for n, (u, e, h) in enumerate(made) if u == k % 4]) for k, q in enumerate(lines)}
+    assert got == want
+
+
+def test_names_that_share_nothing_make_no_rows(spark, rows):
+    """A user with 10,000 names: a question meets those it shares a word or its place with."""
+    workouts = spark.range(10_000).selectExpr(
+        "id as row_id", "1 as user_id", "concat('zz', id, ' lift', id % 100) as exercise", "3 as sets", "5 as reps", "100.0D as weight",
+        "date'2024-01-01' as date", "cast(null as double) as rpe", "cast(null as double) as rir",
+        "timestamp_ntz'2024-01-01 00:00:00' as logged_at")
+    names = C.newest_per_exercise(workouts).withColumn("_name", normalize_text(F.col("exercise")))
+    asked = rows("question_id int, user_id int, _q string", (1, 1, "next weight for lift7 and zz4207"), (2, 1, "nothing of it"))
+    keys = C.question_keys(asked, 3, 13)
+    met = keys.join(C.name_keys(names), ["user_id", "kind", "key"]).filter("kind = 'word' or startswith(after, _name)")
+    pairs = {(r.question_id, r.exercise) for r in met.collect()}
+    assert len(pairs) == 100 and {q for q, _ in pairs} == {1}
+    got = C.target_lifts(asked.withColumnRenamed("_q", "question"), workouts).collect()
+    assert {r.question_id: (r["pass"], r.exercise) for r in got} == {1: (1, "zz4207 lift7"), 2: (3, "zz0 lift0")}
+
+
 def test_history_block(rows, log):
     workouts = log((1, "Bench Press", 1), (1, "bench  press!", 4), (1, "Squat", 2), (3, "Curl", 1), (3, "Curl", 2), (3, "Row", 3), (3, "Row", None))
     users = rows("user_id bigint", (1,), (2,), (3,))
