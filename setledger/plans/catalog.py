@@ -421,9 +421,9 @@ def retrieve_topk(spark, sf):
 
 @query
 def retrieve_topk_blocks(spark, sf):
-    """The same answer with both sides in blocks, as for a query set too large to send around."""
+    """The same answer in passes of four queries, as for a query set too large to send around at once."""
     return show(retrieval.candidates(A.query_set(spark, sf), A.vectors(spark, sf), 4,
-                                     broadcast_queries=0, block_rows=200))
+                                     broadcast_queries=0, block_rows=4))
 
 
 @query

@@ -40,6 +40,42 @@ def test_small_index_returns_everything(spark, tables):
     assert R.candidates(queries.limit(0), few, 3).count() == 0
 
 
+def test_near_ties_are_not_merged(spark):
+    """Scores that differ in the last places keep their order, and equal vectors go by key, in any dealing."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    v = np.repeat(base[None], 240, axis=0)
+    v[:120] += rng.integers(-3, 4, size=(120, 64)) * 1e-15  # far below nine places
+    q = rng.normal(size=(10, 64))
+    vectors = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "chunk_key bigint, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(q)], "query_id bigint, query_vec array<double>")
+    def result(limit, rows, parts):
+        found = R.candidates(queries, vectors.repartition(parts), 4, limit, rows)
+        return sorted((r.query_id, r.candidate_rank, r.chunk_key, r.embedding_score) for r in found.collect())
+    want = []
+    for i, row in enumerate(q):
+        scores = [sum_in_order(row, c) for c in v]
+        best = sorted(range(len(v)), key=lambda j: (-scores[j], j))[:20]
+        want += [(i, k + 1, j, scores[j]) for k, j in enumerate(best)]
+    assert len({s for *_, s in want}) > 20  # distinct scores, all equal at nine places per query
+    for limit, rows, parts in [(4096, 4096, 1), (4096, 4096, 7), (0, 1, 3), (0, 3, 5)]:
+        assert result(limit, rows, parts) == want
+
+
+def sum_in_order(a, b):
+    total = 0.0
+    for x, y in zip(a.tolist(), b.tolist()):
+        total += x * y
+    return total
+
+
+def test_chunks_are_not_shuffled(spark, tables):
+    queries, vectors, *_ = tables
+    found = R.candidates(queries, vectors, 4, 0, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "embedding#" not in plan.split("Exchange", 1)[1]  # stored results only
+
+
 @pytest.mark.parametrize("query, title, kind, site, text, gain", [
     ("squat depth", "Squat", "x", "", "", 0.09), ("!!", "Squat", "x", "", "", 0.0), ("what is it", "", "ARTICLE", None, "", 0.05),
     ("a", "", "", "www.BarbellMedicine.com", "", 0.03), ("a", None, None, "", "Welcome back, all", -0.08),
