@@ -10,6 +10,7 @@ from setledger.functions.text import strip, unify_breaks, words
 from setledger.functions.vocabulary import CHUNK_OVERLAP, CHUNK_WORDS
 from setledger.operators.ordering import ranked
 from setledger.schemas import DOCUMENT_FIELDS
+from setledger.session import pin
 
 ERROR_PREFIX = "[ERROR]"
 _HEADER_LINES = len(DOCUMENT_FIELDS) + 1
@@ -61,17 +62,21 @@ def document_record(text: Column, **fields: Column) -> Column:
     return F.when(worth, F.concat_ws("\n", *header, F.lit(""), text))
 
 
+def chunk_count(n_words: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Chunks of a text of ``n_words`` words: the last one is the first that reaches the end."""
+    step = max(1, size - overlap)
+    return F.when(n_words == 0, 0).when(n_words <= size, 1).otherwise(F.ceil((n_words - size) / F.lit(step)).cast("int") + 1)
+
+
 def chunk_words(df: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP,
                 column: str = "text") -> DataFrame:
     """One row per chunk of ``size`` words; neighbours share ``overlap`` words.
 
-    The last chunk is the first one that reaches the end of the text, which gives the count in
-    closed form. A row-wise expansion: no shuffle.
+    A row-wise expansion: no shuffle.
     """
     step = max(1, size - overlap)
     w = F.col("_words")
-    count = F.when(F.size(w) == 0, 0).when(F.size(w) <= size, 1).otherwise(
-        F.ceil((F.size(w) - size) / F.lit(step)).cast("int") + 1)
+    count = chunk_count(F.size(w), size, overlap)
     starts = F.when(F.col("_count") > 0, F.sequence(F.lit(0), F.col("_count") - 1)).otherwise(
         F.array().cast("array<int>"))
     parts = F.transform(starts, lambda i: F.slice(w, i * step + 1, F.lit(size)))
@@ -82,15 +87,23 @@ def chunk_words(df: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVE
                     F.array_join("_part", " ").alias(column)))
 
 
-def number_chunks(chunks: DataFrame, doc_order: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Add the running ``chunk_id`` (from 0) over documents in order and chunks in order.
+def chunk_numbers(docs: DataFrame, doc_order: Sequence[str] = ("doc_id",), size: int = CHUNK_WORDS,
+                  overlap: int = CHUNK_OVERLAP, column: str = "text") -> DataFrame:
+    """(doc_order, chunk_index, chunk_id, n_words) of every chunk; ``chunk_id`` runs from 0 over documents in order and
+    chunks in order.
 
-    The stable key is (document, chunk_index); this number is for exchange with position-based
-    formats. Numbering uses per-document counts, so texts are not sorted."""
-    counts = chunks.groupBy(*doc_order).agg(F.count("*").alias("n_chunks"))
-    offsets = running_total(counts, doc_order, "n_chunks", "offset").select(*doc_order, "offset")
-    return (chunks.join(offsets, list(doc_order), "inner")
-            .withColumn("chunk_id", F.col("offset") + F.col("chunk_index")).drop("offset"))
+    The stable key is (document, chunk_index); this number is for exchange with position-based formats. All of
+    it follows from the word counts: texts are read once, in place, and only keys and counts are stored,
+    sorted and shuffled.
+    """
+    lengths = pin(docs.select(*doc_order, F.size(words(F.col(column))).alias("_total")))
+    counts = lengths.withColumn("_chunks", chunk_count(F.col("_total"), size, overlap)).filter("_chunks > 0")
+    placed = running_total(counts, doc_order, "_chunks", "_offset")
+    index = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk_index")
+    left = F.col("_total") - F.col("chunk_index") * max(1, size - overlap)
+    return (placed.select(*doc_order, "_total", "_offset", index)
+            .select(*doc_order, "chunk_index", (F.col("_offset") + F.col("chunk_index")).alias("chunk_id"),
+                    F.least(F.lit(size), left).alias("n_words")))
 
 
 def running_total(df: DataFrame, order: Sequence[str], amount: str, name: str) -> DataFrame:

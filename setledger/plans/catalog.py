@@ -13,7 +13,7 @@ from setledger.functions import markers as M, numbers as N, text as X, times as
 from setledger.functions import vocabulary as V
 from setledger.operators import (activity, coaching, crawl, documents, evaluation, features, learning,
                                  retrieval, rules, sessions, vectorize)
-from setledger.plans import training
+from setledger.plans import indexing, training
 from setledger.session import pin, scratch_path
 from setledger.sources import corpus, files, fixtures as A, index, tables
 from setledger.streaming import jobs, quota
@@ -378,8 +378,7 @@ def small_chunks(spark, sf):
 @query
 def chunk_ids(spark, sf):
     docs = A.table(spark, sf, "documents").select("source", "doc_id", "text")
-    numbered = documents.number_chunks(documents.chunk_words(docs), ["source", "doc_id"])
-    return numbered.select("doc_id", "chunk_index", "chunk_id", "n_words")
+    return documents.chunk_numbers(docs, ["source", "doc_id"]).select("doc_id", "chunk_index", "chunk_id", "n_words")
 
 
 @query
@@ -398,6 +397,29 @@ def index_round_trip(spark, sf):
     return index.index_orphans(chunks, vectors).select("chunk_key", "side")
 
 
+def _letter_vectors(chunks):
+    """Counts of a few letters and of words: vectors that both engines can make."""
+    counts = [F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in "aeinst"]
+    return chunks.select("chunk_key", F.array(*counts, F.col("n_words")).cast("array<double>").alias("embedding"))
+
+
+@query
+def index_built(spark, sf):
+    """An index of most documents, some with an older text and some that are gone later, brought up to the whole
+    table: every chunk with its vector, the part that holds it, and the manifest's counts."""
+    folder, key = scratch_path(spark, "index"), F.col("doc_id")
+    docs = A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    old = docs.filter(key % 10 != 0).withColumn("raw_text", F.when(key % 10 == 1, F.concat(F.lit("older "), "raw_text")).otherwise(F.col("raw_text")))
+    gone = docs.filter(key % 20 == 2).withColumn("doc_id", key + 10_000_000)
+    indexing.update_index(old.unionByName(gone), ["doc_id"], folder, _letter_vectors)
+    indexing.update_index(docs, ["doc_id"], folder, _letter_vectors)
+    chunks, vectors, _ = index.read_index(spark, folder)
+    manifest = index.read_manifest(spark, folder)
+    rows = index.joined_index(chunks, vectors.drop("part"))
+    return show(rows.select("doc_id", "chunk_index", "n_words", "part", F.md5("text").alias("digest"), "embedding",
+                            F.lit(manifest["num_files"]).alias("num_files"), F.lit(manifest["num_chunks"]).alias("num_chunks")))
+
+
 @query
 def joined_index(spark, sf):
     rows = index.joined_index(A.indexed_docs(spark, sf), A.vectors(spark, sf))

@@ -365,6 +365,10 @@ FROM v_chunks JOIN documents USING (doc_id)""")
 add("chunk_index_stats", "SELECT count(DISTINCT doc_id) AS num_files, count(*) AS num_chunks FROM v_chunks ")
 add("index_round_trip", """SELECT doc_id AS chunk_key, 'chunk' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
 UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""")
+_LETTERS = " || '|' || ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE" for c in "aeinst")
+add("index_built", f"""SELECT doc_id, chunk_index, n_words, CASE WHEN doc_id % 10 < 2 THEN 1 ELSE 0 END AS part, md5(text) AS digest,
+  {_LETTERS} || '|' || n_words::DOUBLE AS embedding, (SELECT count(DISTINCT doc_id) FROM v_chunks ) AS num_files,
+  (SELECT count(*) FROM v_chunks ) AS num_chunks FROM v_chunks """)
 add("joined_index", "SELECT doc_id AS chunk_key, title, len(embedding) AS dim FROM v_meta JOIN embeddings ON vec_id = doc_id")
 
 # ---- retrieval

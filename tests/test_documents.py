@@ -53,9 +53,17 @@ def test_chunk_numbers(spark, monkeypatch, bound):
     monkeypatch.setattr(ordering, "ROWS_PER_TASK", bound)
     rng = random.Random(1)
     docs = [(f"f{i % 2}", f"n{i:02d}", " ".join("w" for _ in range(rng.randrange(30)))) for i in range(20)]
-    chunks = D.chunk_words(spark.createDataFrame(docs, "folder string, source_name string, text string"), 5, 2)
-    got = D.number_chunks(chunks, ["folder", "source_name"]).orderBy("folder", "source_name", "chunk_index").collect()
+    docs = spark.createDataFrame(docs, "folder string, source_name string, text string")
+    got = D.chunk_numbers(docs, ["folder", "source_name"], 5, 2).orderBy("folder", "source_name", "chunk_index").collect()
     assert [r.chunk_id for r in got] == list(range(len(got))) and len(got) > 40
+    cut = {(r.folder, r.source_name, r.chunk_index): r.n_words for r in D.chunk_words(docs, 5, 2).collect()}
+    assert {(r.folder, r.source_name, r.chunk_index): r.n_words for r in got} == cut
+
+
+def test_numbering_shuffles_no_text(spark):
+    docs = spark.createDataFrame([(k, "some words here " * k) for k in range(9)], "doc_id int, text string")
+    numbers = D.chunk_numbers(docs, ["doc_id"], 5, 2)
+    assert "text#" not in numbers._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stats(rows):

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from setledger.plans.indexing import answer_contexts, build_index, chunk_corpus
+from setledger.operators.documents import chunk_numbers, parse_header
+from setledger.plans.indexing import answer_contexts, build_index, chunk_corpus, update_index
 from setledger.sources import corpus, index, tables
 
 RAW = """Date,Exercise Name,Set Order,Weight,Reps,Notes
@@ -89,7 +90,9 @@ def test_corpus_to_context(spark, rows, tmp_path):
         (tmp_path / f"{name}.txt").write_text(f"TITLE: {name}\nAUTHOR: A\nWEBSITE: w.org\nURL: u\nTYPE: Article\n\n{text}")
     docs = corpus.read_text_corpus(spark, [str(tmp_path)], str(tmp_path))
     order = ["folder", "source_name"]
-    assert [r.chunk_id for r in chunk_corpus(docs, order).orderBy("source_name").collect()] == [0, 1]
+    assert chunk_corpus(docs, order).select("chunk_key").distinct().count() == 2
+    numbers = chunk_numbers(parse_header(docs), order)
+    assert [(r.source_name, r.chunk_id) for r in numbers.orderBy("chunk_id").collect()] == [("bench.txt", 0), ("squat.txt", 1)]
     model = build_index(docs, order, str(tmp_path / "index"), dim=128)
     chunks, vectors, _ = index.read_index(spark, str(tmp_path / "index"))
     questions = rows("question_id bigint, user_id bigint, question string", (1, 1, "how deep should I squat"))
@@ -114,3 +117,49 @@ def test_reports_and_predictions_are_stored(spark, rows, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r/per_exercise_metrics.parquet")).count() == 2
     rule = tables.read_for_rule_model(spark, str(tmp_path / "deep/p.csv"))
     assert predict_by_rule(rule.select(*df.columns)).count() == 2
+
+
+def test_index_grows_by_changes(spark, rows, tmp_path):
+    folder, seen = str(tmp_path / "index"), []
+
+    def vectorize(chunks):
+        seen.append(sorted(r.doc_id for r in chunks.select("doc_id").distinct().collect()))
+        return chunks.select("chunk_key", F.array(F.length("text").cast("double")).alias("embedding"))
+
+    def docs(*entries):
+        return rows("doc_id int, raw_text string", *entries)
+
+    def update(frame, **more):
+        return update_index(frame, ["doc_id"], folder, vectorize, size=3, overlap=1, **more)
+
+    def held():
+        chunks, vectors, _ = index.read_index(spark, folder)
+        return sorted((r.doc_id, r.chunk_index, r.text, r.embedding[0]) for r in index.joined_index(chunks, vectors.drop("part")).collect())
+
+    def want(*entries):
+        out = []
+        for key, text in entries:
+            words = text.split()
+            starts = range(0, max(1, len(words) - 1), 2) if words and not text.startswith("[ERROR]") else []
+            out += [(key, n, " ".join(words[at:at + 3]), float(len(" ".join(words[at:at + 3])))) for n, at in enumerate(starts)]
+        return sorted(out)
+
+    first = [(k, f"a{k} b c d e") for k in range(20)] + [(50, "[ERROR] none"), (51, "  ")]
+    assert update(docs(*first)) == 0 and held() == want(*first) and index.read_manifest(spark, folder)["num_files"] == 20
+    assert update(docs(*first)) == 0 and len(seen) == 1  # nothing to do
+    second = [(0, "new text here"), *first[2:], (60, "one")]  # 0 changed, 1 gone, 60 new
+    assert update(docs(*second)) == 1 and seen[-1] == [0, 60] and held() == want(*second)
+    spark.createDataFrame([(1, "junk")], "chunk_key bigint, text string").write.parquet(f"{folder}/parts/chunks/2")  # broke off
+    assert held() == want(*second)
+    third = [first[0], *second[1:]]  # 0 as it was at first
+    assert update(docs(*third)) == 2 and seen[-1] == [0] and held() == want(*third)
+    assert index.read_manifest(spark, folder)["parts"] == [0, 1, 2]
+    fourth = third[:8]
+    assert update(docs(*fourth)) == 3 and seen[-1] == [] and held() == want(*fourth)
+    assert index.read_manifest(spark, folder)["parts"] == [3] and index.read_manifest(spark, folder)["num_dead"] == 0  # written anew
+    stamped = docs(*fourth).withColumn("modified", F.lit(7))
+    assert update(stamped, stamp="modified") == 4 and update(stamped.withColumn("raw_text", F.lit("x")), stamp="modified") == 4
+    assert held() == want(*fourth) and len(list((tmp_path / "index" / "commits").glob("[0-9]*"))) == 2
+    with pytest.raises(ValueError, match="same key"):
+        update(docs((1, "a"), (1, "a")))
+    assert held() == want(*fourth)
