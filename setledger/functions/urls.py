@@ -109,3 +109,13 @@ def oembed_title(payload: Column) -> Column:
 
 def oembed_author(payload: Column) -> Column:
     return blank_to_null(F.get_json_object(payload, "$.author_name"))
+
+
+def video_fields(payload: Column, page: Column) -> Column:
+    """Title and author of a video as a struct: both from the oEmbed answer when it has either, else from the page;
+    a page without a title gives neither."""
+    title, author = oembed_title(payload), oembed_author(payload)
+    answered = title.isNotNull() | author.isNotNull()
+    titled = F.coalesce(page.rlike(r"(?is)<title>.*?</title>"), F.lit(False))
+    return F.struct(F.when(answered, title).when(titled, html_title(page)).alias("title"),
+                    F.when(answered, author).when(titled, owner_name(page)).alias("author"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from setledger.functions.markers import is_block_error
+from setledger.functions.markers import is_block_error, is_transcript_block
 from setledger.operators.ordering import with_neighbours
 
 
@@ -15,19 +15,21 @@ def skip_existing(targets: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return targets.join(done.select(key), key, "left_anti")
 
 
-def crawl_outcomes(log: DataFrame) -> DataFrame:
-    """Each fetch as a success (no message), a block, or some other error."""
-    return log.withColumns({"success": F.col("message").isNull(),
-                            "blocked": is_block_error(F.col("message"))})
+def crawl_outcomes(log: DataFrame, transcripts: bool = False) -> DataFrame:
+    """Each fetch as a success (no message), a block, or some other error. Transcript services word their blocks
+    in their own way."""
+    blocked = is_transcript_block if transcripts else is_block_error
+    return log.withColumns({"success": F.col("message").isNull(), "blocked": blocked(F.col("message"))})
 
 
-def first_stop(log: DataFrame, limit: int, keys: Sequence[str] = ("site",), order: str = "seq") -> DataFrame:
+def first_stop(log: DataFrame, limit: int, keys: Sequence[str] = ("site",), order: str = "seq",
+               transcripts: bool = False) -> DataFrame:
     """Where fetching stops for each key: the ``limit``-th block since the last success.
 
     A success resets the count, any other error leaves it as it is. With only blocks and successes kept in order, a stop is a row whose last ``limit`` rows are
     all blocks; that needs a frame of fixed length instead of a running count.
     """
-    events = crawl_outcomes(log).filter(F.col("blocked") | F.col("success"))
+    events = crawl_outcomes(log, transcripts).filter(F.col("blocked") | F.col("success"))
 
     def look_back(df: DataFrame, w) -> DataFrame:
         frame = w.rowsBetween(1 - limit, 0)

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from setledger import schemas as S
 from setledger.functions import markers as M, numbers as N, text as X, times as D, urls as U, vectors as L
 from setledger.functions import vocabulary as V
-from setledger.operators import (activity, coaching, crawl, documents, evaluation, features, learning,
-                                 retrieval, rules, sessions, vectorize)
+from setledger.operators import (activity, coaching, crawl, documents, evaluation, features, labels, learning,
+                                 retrieval, rules, scoring, sessions, vectorize)
 from setledger.plans import indexing, training
 from setledger.session import pin, scratch_path
 from setledger.sources import corpus, files, fixtures as A, index, tables
@@ -312,6 +312,44 @@ def latest_predictions(spark, sf):
         "row_id", "exercise", "weight", "predicted_next_weight", "model_name"))
 
 
+@query
+def restored_groups(spark, sf):
+    """Models per group, stored, one of them damaged, loaded again; later rows, some with a name no model has seen: the
+    group that scores each of them, what goes with the prediction, and the vector of the stored global model."""
+    train, test = _train_test(spark, sf)
+    models = learning.train_per_group(train, test, learning.BoostSettings(trees=3))
+    folder = scratch_path(spark, "forests")
+    scoring.save_forests(spark, {g: scoring.forest_of(spark, m) for g, m in models.items()}, folder)
+    files.remove(spark, f"{folder}/0/isolation/nodes")
+    loaded = scoring.load_forests(spark, folder)
+    test = test.withColumn("exercise", F.when(F.col("row_id") % 9 == 0, "Sled Push").otherwise(F.col("exercise")))
+    history = pin(train.unionByName(test))
+    scored = learning.predict_per_group(loaded, history, test)
+    rows = learning.with_model_group(features.fill_features(features.strict_past_features(history)))
+    inputs = F.array(*scoring.input_columns(loaded["global"], rows))
+    n = len(features.NUMERIC_FEATURES)
+    def total(part):
+        return F.bround(F.aggregate(part, F.lit(0.0), lambda s, x: s + x), 3)
+    vectors = rows.select("row_id", inputs.alias("v")).select(
+        "row_id", F.size("v").alias("width"), total(F.slice("v", 1, n)).alias("numbers"), total(F.slice("v", n + 1, F.size("v") - n)).alias("names"))
+    gain = F.bround(F.col("predicted_next_weight") - F.col("current_weight"), 2)
+    return show(scored.join(vectors, "row_id").select(
+        "row_id", "exercise", "model_group", "current_weight", "top_factors", "reason", "model_type",
+        (F.col("recommended_increment") == gain).alias("gain_fits"), "width", "numbers", "names"))
+
+
+@query
+def learned_report(spark, sf):
+    """The error of the rule, of one model for all rows, and of a model per group, on the later rows."""
+    train, test = _train_test(spark, sf)
+    fast = learning.BoostSettings(trees=20)
+    grouped = learning.predict_per_group(learning.train_per_group(train, test, fast), train.unionByName(test), test)
+    return show(evaluation.model_report({
+        "rule": rules.predict_by_rule(test),
+        "boosted": learning.boosted_predictions(train, test, settings=fast),
+        "grouped": grouped.join(test.select("row_id", S.TARGET), "row_id")}))
+
+
 @query
 def latest_features(spark, sf):
     """What a model is given for the newest row of every user and exercise."""
@@ -338,6 +376,67 @@ def routed_groups(spark, sf):
     return learning.resolve_group(A.workouts(spark, sf).select("row_id", "exercise"), manifest)
 
 
+# ---- stored tables and their order
+
+
+def _placed(df):
+    """``place``: each row's position in a sorted table, from 0."""
+    spread = pin(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}))
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("n"))  # one row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return spread.join(before, "_part").withColumn("place", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+@query
+def sorted_sets(spark, sf):
+    rows = _placed(sessions.sort_sets(sessions.valid_sets(A.raw_sets(spark, sf))))
+    return show(rows.select("place", "set_ts", "exercise", "set_order"))
+
+
+@query
+def sorted_supervised(spark, sf):
+    rows = _placed(labels.sort_supervised(training.supervised_rows(A.user_sets(spark, sf), ["user_id"])))
+    return show(rows.select("place", "logged_at", "exercise"))
+
+
+@query
+def restored_order(spark, sf):
+    """History and the rows to predict, stacked, back in the order of their rows."""
+    rows = A.workouts(spark, sf)
+    current = rows.filter(F.col("row_id") % 8 == 0).select("row_id", "user_id", "exercise", "weight", "logged_at")
+    both = features.append_current(rows.filter(F.col("row_id") % 8 != 0), current)
+    return show(_placed(features.restore_order(both)).select("place", "row_id", "exercise", "sets", "weight", "rpe"))
+
+
+@query
+def rule_model_table(spark, sf):
+    """A stored table without effort columns, read for the rule model."""
+    path = scratch_path(spark, "log") + ".csv"
+    tables.write_table(A.workouts(spark, sf).drop("rpe", "rir"), path)
+    return show(rules.predict_by_rule(tables.read_for_rule_model(spark, path)).select("row_id", "predicted_next_weight", "reason"))
+
+
+@query
+def stored_report(spark, sf):
+    """Metrics, metrics per exercise and model report, written and read back."""
+    folder, scored = scratch_path(spark, "report"), pin(_scored(spark, sf))
+    tables.write_report(evaluation.overall_metrics(scored), evaluation.per_exercise_metrics(scored),
+                        evaluation.model_report({"rule": scored}), folder)
+    def part(name, label):
+        return spark.read.parquet(f"{folder}/{name}.parquet").select(F.lit(name).alias("part"), label.alias("name"), "mae")
+    return show(part("metrics", F.lit("")).union(part("per_exercise_metrics", F.col("exercise"))).union(part("model_report", F.col("model"))))
+
+
+@query
+def text_corpus(spark, sf):
+    """Benchmark texts as files, one folder each; a folder that is not there is left out."""
+    folder = scratch_path(spark, "corpus")
+    rows = A.table(spark, sf, "benchmark").withColumn("text", F.when(F.col("item_id") % 10 == 0, "[ERROR] 404").otherwise(F.col("text")))
+    rows.select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(folder)
+    found = corpus.read_text_corpus(spark, [f"{folder}-absent", folder], folder)
+    return found.select("folder", F.regexp_extract("source_file", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "raw_text")
+
+
 # ---- documents and chunks
 
 
@@ -713,6 +812,26 @@ def oembed_fields(spark, sf):
                                               U.oembed_author(payload).alias("author"))
 
 
+@query
+def video_fields(spark, sf):
+    """The oEmbed answer first, the page second."""
+    key = F.col("page_id")
+    payload = F.when(key % 3 == 0, F.to_json(F.struct(F.concat(F.lit("Video "), key).alias("title"), F.lit(" ").alias("author_name")))).when(
+        key % 3 == 1, '{"title": "  ", "author_name": ""}')
+    page = F.when(key % 5 == 0, F.lit('"ownerChannelName":"Nobody"')).otherwise(
+        F.concat(F.lit("<title>Page "), key, F.lit(' &amp; more - YouTube</title>{"ownerChannelName":"Lift '), key, F.lit('","x":1}')))
+    return A.table(spark, sf, "pages").select("page_id", U.video_fields(payload, page).alias("f")).select("page_id", "f.*")
+
+
+@query
+def transcript_blocks(spark, sf):
+    """Where transcript fetching stops: its blocks are worded in their own way, others do not count."""
+    key = F.col("seq")
+    said = F.when(F.col("message").isNotNull(), F.when(key % 3 == 0, "YouTube is blocking requests from your IP").when(
+        key % 3 == 1, "RequestBlocked: try later").otherwise("403 Client Error: Forbidden"))
+    return crawl.first_stop(A.crawl_log(spark, sf).withColumn("message", said), STREAK, transcripts=True)
+
+
 @query
 def author_lists(spark, sf):
     names = F.array(F.concat(F.lit(" "), "source"), F.lit("  "), F.col("lang"))

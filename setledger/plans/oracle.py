@@ -305,6 +305,50 @@ add("assembled_vectors", f"""SELECT row_id, exercise, CAST({len(_NUMBERS)} + (SE
   round_even(CAST({' + '.join(f'coalesce({c}, 0)' for c in _NUMBERS)} AS DOUBLE), 3) AS total,
   dense_rank() OVER (ORDER BY exercise) - 1 AS name_column FROM v_lagged """)
 
+# ---- stored models, tables and their order
+
+VIEWS["v_log_labelled"] = """
+SELECT * FROM (SELECT *, round_even(lead(weight) OVER (PARTITION BY user_id, exercise ORDER BY date, logged_at, row_id), 2) AS actual_next_weight
+  FROM v_workouts ) WHERE actual_next_weight IS NOT NULL """
+VIEWS["v_log_split"] = split_of("v_log_labelled", "logged_at, date, exercise, row_id")
+VIEWS["v_log_renamed"] = """
+SELECT * REPLACE (CASE WHEN dataset = 'test' AND row_id % 9 = 0 THEN 'Sled Push' ELSE exercise END AS exercise) FROM v_log_split """
+VIEWS["v_log_past"] = f"""
+SELECT row_id, {_PAST}, avg(p_weight) AS previous_3_weight_avg, avg(p_reps) AS previous_3_reps_avg, count(*) AS history_count
+FROM (SELECT w.row_id, {', '.join(f'p.{c} AS p_{c}' for c in _EFFORT)},
+        row_number() OVER (PARTITION BY w.row_id ORDER BY p.logged_at DESC, p.date DESC, p.row_id DESC) AS n
+      FROM v_log_renamed w JOIN v_log_renamed p ON p.user_id = w.user_id AND p.exercise = w.exercise AND p.logged_at < w.logged_at)
+WHERE n <= 3 GROUP BY row_id """
+VIEWS["v_log_routed"] = f"""SELECT *, {MODEL_GROUP} AS own, CASE WHEN {MODEL_GROUP} = 'isolation' THEN 'global' ELSE {MODEL_GROUP} END AS used
+FROM v_log_renamed """
+add("restored_groups", f"""SELECT w.row_id, exercise, used AS model_group, {r6('weight')} AS current_weight,
+  'current workout row|previous 3 same-exercise performances|' || used || ' XGBoost plus regressor' AS top_factors,
+  'Predicted from the category-specific XGBoost plus model using current row features and available same-exercise history.' AS reason,
+  'xgboost_plus_regressor' AS model_type, true AS gain_fits,
+  CAST({len(_NUMBERS)} + (SELECT count(DISTINCT exercise) + count(DISTINCT own) FROM v_log_routed WHERE dataset = 'train') AS INT) AS width,
+  round_even(CAST({' + '.join(f'coalesce({c}, 0)' for c in _NUMBERS)} AS DOUBLE), 3) AS numbers,
+  CAST(exercise IN (SELECT exercise FROM v_log_routed WHERE dataset = 'train') AS INT)
+  + CAST(own IN (SELECT own FROM v_log_routed WHERE dataset = 'train') AS INT)::DOUBLE AS names
+FROM v_log_routed w LEFT JOIN v_log_past ON v_log_past.row_id = w.row_id WHERE dataset = 'test'""")
+
+VIEWS["v_no_effort"] = "SELECT * REPLACE (CAST(NULL AS DOUBLE) AS rpe, CAST(NULL AS DOUBLE) AS rir) FROM v_workouts "
+VIEWS["v_no_effort_ruled"] = rule_of("v_no_effort")
+add("rule_model_table", "SELECT row_id, predicted_next_weight, reason FROM v_no_effort_ruled ")
+add("sorted_sets", f"""SELECT row_number() OVER (ORDER BY set_ts, exercise, set_order) - 1 AS place, {iso('set_ts')} AS set_ts, exercise, set_order
+FROM v_one_valid """)
+add("sorted_supervised", f"""SELECT row_number() OVER (ORDER BY logged_at, exercise) - 1 AS place, {iso('logged_at')} AS logged_at, exercise
+FROM v_user_labelled """)
+add("restored_order", f"""SELECT row_number() OVER (ORDER BY row_id) - 1 AS place, row_id, exercise, CASE WHEN row_id % 8 <> 0 THEN sets END AS sets, weight,
+  CASE WHEN row_id % 8 <> 0 THEN rpe END AS rpe FROM v_workouts """)
+add("stored_report", """SELECT 'metrics' AS part, '' AS name, round_even(avg(absolute_error), 3) AS mae FROM v_scored
+UNION ALL SELECT 'per_exercise_metrics', exercise, round_even(avg(absolute_error), 3) FROM v_scored GROUP BY exercise
+UNION ALL SELECT 'model_report', 'rule', round_even(avg(absolute_error), 3) FROM v_scored """)
+add("text_corpus", f"""SELECT 1 AS folder, item_id, {strip('text')} AS raw_text FROM benchmark WHERE item_id % 10 <> 0""")
+add("video_fields", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Video ' || page_id WHEN page_id % 5 <> 0 THEN 'Page ' || page_id || ' & more' END AS title,
+  CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'Lift ' || page_id END AS author FROM pages""")
+VIEWS["v_transcripts"] = """
+SELECT event_id AS seq, user_id % 10 AS site, event_type = 'error' AND event_id % 3 < 2 AS blocked, event_type <> 'error' AS success FROM events """
+
 # ---- documents
 
 VIEWS["v_meta"] = """
@@ -599,6 +643,9 @@ add("block_errors", "SELECT seq, site, blocked, success FROM v_crawl ")
 add("block_streaks", f"""SELECT site, min(seq) AS stop_at FROM (SELECT *, sum(CAST(blocked AS INT)) OVER (PARTITION BY site, island ORDER BY seq) AS run
   FROM (SELECT *, sum(CAST(success AS INT)) OVER (PARTITION BY site ORDER BY seq) AS island FROM v_crawl ))
 WHERE blocked AND run >= {STREAK} GROUP BY site""")
+add("transcript_blocks", """SELECT site, min(seq) AS stop_at FROM (SELECT *, sum(CAST(blocked AS INT)) OVER (PARTITION BY site, island ORDER BY seq) AS run
+  FROM (SELECT *, sum(CAST(success AS INT)) OVER (PARTITION BY site ORDER BY seq) AS island FROM v_transcripts ))
+WHERE blocked AND run >= 2 GROUP BY site""")
 add("transcripts", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
 
 # ---- streams

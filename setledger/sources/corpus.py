@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from setledger.functions.text import drop_bad_bytes, strip
 from setledger.operators.documents import usable_text
-from setledger.sources.tables import exists
+from setledger.sources.files import exists
 
 
 def read_text_corpus(spark: SparkSession, folders: Sequence[str], root: str = "") -> DataFrame:

@@ -11,6 +11,7 @@ from setledger.functions.numbers import parse_number
 from setledger.functions.times import ISO, iso_seconds, parse_timestamp
 from setledger.operators.learning import with_model_group
 from setledger.operators.sessions import coerce_sets, collapse_sessions, valid_sets
+from setledger.sources.files import exists
 
 
 def require(df: DataFrame, columns: Iterable[str], what: str) -> DataFrame:
@@ -85,12 +86,6 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return _typed(require(_read(spark, path), S.EVALUATION_COLUMNS, "prediction table"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def rebuild_if_missing(spark: SparkSession, user_path: str, raw_path: str) -> DataFrame:
     """The stored user table, or one derived from the raw sets when it is absent or empty."""
     if exists(spark, user_path):

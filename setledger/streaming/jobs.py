@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from setledger.functions.vocabulary import DAILY_PROMPTS
 from setledger.operators.activity import accepted_entries, rejected_entries
 from setledger.operators.rules import predict_by_rule
-from setledger.sources.tables import exists
+from setledger.sources.files import exists
 from setledger.streaming.state import EVERY, FoldedState
 
 
