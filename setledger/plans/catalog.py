@@ -15,7 +15,7 @@ from setledger.operators import (activity, coaching, crawl, documents, evaluatio
                                  retrieval, rules, scoring, sessions, vectorize)
 from setledger.plans import indexing, training
 from setledger.session import pin, scratch_path
-from setledger.sources import corpus, files, fixtures as A, index, tables
+from setledger.sources import corpus, files, fixtures as A, index, log, tables
 from setledger.streaming import jobs, quota
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,14 +300,14 @@ def grouped_predictions(spark, sf):
 def latest_predictions(spark, sf):
     """Models stored and loaded again, then the newest row of every user and exercise of the whole log."""
     train, _ = _train_test(spark, sf)
-    log = A.workouts(spark, sf)
+    whole = A.workouts(spark, sf)
     feats = pin(features.fill_features(features.history_features(train)))
     model = learning.train_boosted(feats)
     folder = scratch_path(spark, "models")
     learning.save_models(spark, {"global": model}, folder)
     loaded = learning.load_models(spark, folder)["global"]
-    learned = learning.predict_latest(loaded, log)
-    ruled = rules.predict_by_rule(log)
+    learned = learning.predict_latest(loaded, whole)
+    ruled = rules.predict_by_rule(whole)
     return show(learning.prefer_learned(learned, ruled).select(
         "row_id", "exercise", "weight", "predicted_next_weight", "model_name"))
 
@@ -437,6 +437,33 @@ def text_corpus(spark, sf):
     return found.select("folder", F.regexp_extract("source_file", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "raw_text")
 
 
+def _stored_sessions(spark, sf):
+    """Sessions of all users as a log by year and month, in two appends, compacted."""
+    folder = scratch_path(spark, "log")
+    rows = sessions.collapse_sessions(sessions.valid_sets(A.user_sets(spark, sf)), ["user_id", *sessions.SESSION])
+    for part in range(2):
+        log.append_log(rows.filter(F.col("user_id") % 2 == part), folder)
+    log.compact_log(spark, folder, files=1)
+    return folder
+
+
+@query
+def stored_month(spark, sf):
+    return show(log.read_period(spark, _stored_sessions(spark, sf), 1995, 3).select("user_id", "exercise", "date", "weight"))
+
+
+@query
+def stored_year(spark, sf):
+    return show(log.read_period(spark, _stored_sessions(spark, sf), 1995).select("user_id", "exercise", "date", "weight"))
+
+
+@query
+def year_log(spark, sf):
+    """Every second row moved to the year before; one year of the log."""
+    moved = A.workouts(spark, sf).withColumn("date", F.when(F.col("row_id") % 2 == 0, F.add_months("date", -12)).otherwise(F.col("date")))
+    return show(activity.in_month(moved, 2023).select("row_id", "exercise", "date"))
+
+
 # ---- documents and chunks
 
 

@@ -349,6 +349,10 @@ add("video_fields", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Video ' |
 VIEWS["v_transcripts"] = """
 SELECT event_id AS seq, user_id % 10 AS site, event_type = 'error' AND event_id % 3 < 2 AS blocked, event_type <> 'error' AS success FROM events """
 
+add("stored_month", f"""SELECT user_id, exercise, {day('date')} AS date, weight FROM v_user_sessions WHERE year(date) = 1995 AND month(date) = 3""")
+add("stored_year", f"SELECT user_id, exercise, {day('date')} AS date, weight FROM v_user_sessions WHERE year(date) = 1995")
+add("year_log", "SELECT row_id, exercise, strftime(date - INTERVAL 12 MONTH, '%Y-%m-%d') AS date FROM v_workouts WHERE row_id % 2 = 0")
+
 # ---- documents
 
 VIEWS["v_meta"] = """

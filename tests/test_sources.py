@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from setledger.operators.documents import chunk_numbers, parse_header
 from setledger.plans.indexing import answer_contexts, build_index, chunk_corpus, update_index
-from setledger.sources import corpus, index, tables
+from setledger.sources import corpus, index, log, tables
 
 RAW = """Date,Exercise Name,Set Order,Weight,Reps,Notes
 2024-01-01 10:00:00,Squat,1,100,5,"a, b"
@@ -163,3 +163,29 @@ def test_index_grows_by_changes(spark, rows, tmp_path):
     with pytest.raises(ValueError, match="same key"):
         update(docs((1, "a"), (1, "a")))
     assert held() == want(*fourth)
+
+
+def test_log_by_month(spark, rows, tmp_path):
+    folder = str(tmp_path / "log")
+    days = [dt.date(2023 + k % 2, 1 + k % 12, 1 + k % 28) for k in range(120)] + [None] * 3
+    made = [(k, day, float(k)) for k, day in enumerate(days)]
+    for start in range(0, len(made), 41):
+        log.append_log(rows("row_id int, date date, weight double", *made[start:start + 41]), folder)
+
+    def month(year, number=None):
+        return sorted(r.row_id for r in log.read_period(spark, folder, year, number).collect())
+
+    want = sorted(k for k, day, _ in made if day and (day.year, day.month) == (2024, 4))
+    assert month(2024, 4) == want and month(2023) == sorted(k for k, day, _ in made if day and day.year == 2023)
+    plan = log.read_period(spark, folder, 2024, 4)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(year" in scan and "month" in scan.split("PartitionFilters")[1].split("]")[0]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "log/year=2023").rglob("part*")}
+    many = rows("row_id int, date date, weight double", *[(1_000 + k, dt.date(2024, 4, 2), 1.0) for k in range(4)])
+    for k in range(4):
+        log.append_log(many.filter(f"row_id = {1_000 + k}"), folder)
+    assert log.compact_log(spark, folder, files=4) == 1 and log.compact_log(spark, folder, files=4) == 0
+    assert len(list((tmp_path / "log/year=2024/month=4").glob("part*"))) == 1
+    assert month(2024, 4) == want + [1_000, 1_001, 1_002, 1_003]
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "log/year=2023").rglob("part*")}
+    assert log.read_log(spark, folder).count() == len(made) + 4 and log.read_log(spark, folder).filter("date is null").count() == 3
