@@ -623,6 +623,14 @@ add("context_blocks", f"""SELECT question_id, user_id, concat_ws(chr(10) || chr(
 FROM v_questions LEFT JOIN v_question_excerpts ON query_id = question_id LEFT JOIN v_prediction USING (question_id)
 LEFT JOIN v_history USING (user_id) LEFT JOIN v_profile USING (user_id)""")
 
+VIEWS["v_learned"] = prediction_of(
+    f"""CASE WHEN coalesce(busy, 0) <= {ROUTER_ROWS} THEN {_RULE_TEXT} ELSE concat('- XGBoost predicts next ', exercise, ': N lb', chr(10),
+   '- Reason: Predicted from the trained XGBoost model using current row features and available exercise history.') END""",
+    "LEFT JOIN (SELECT user_id, count(*) AS busy FROM events GROUP BY user_id) USING (user_id)")
+add("learned_contexts", f"""SELECT question_id, user_id, concat_ws(chr(10) || chr(10), coalesce(excerpts, concat({q(V.EXCERPTS_HEADING)}, chr(10), {q(V.NO_EXCERPTS)})), history, profile, prediction) AS context
+FROM v_questions LEFT JOIN v_question_excerpts ON query_id = question_id LEFT JOIN v_learned USING (question_id)
+LEFT JOIN v_history USING (user_id) LEFT JOIN v_profile USING (user_id)""")
+
 # ---- links, pages, crawl logs
 
 _PATH = "regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"
