@@ -46,13 +46,14 @@ def budget(length):
 
 
 def line_occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no and digest (node, check) of the compared lines of all documents."""
+    """doc_id, text_key, line_no and digest (node, check) of the compared lines of all documents, stored: texts are
+    split and lines hashed once."""
     cut = docs.select("doc_id", F.expr("xxhash64(doc_id, text)").alias("text_key"),
                       F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     lines = cut.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).filter(
         F.length("line") >= MIN_CHARS)
-    return lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("node"),
-                        F.xxhash64(F.lit(1), "line").alias("check"))
+    return pin(lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("node"),
+                            F.xxhash64(F.lit(1), "line").alias("check")))
 
 
 def compared_lines(texts: list[str | None], least: int = MIN_CHARS) -> list[str]:
@@ -70,10 +71,9 @@ def _first():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no")
 
 
-def distinct_lines(occurrences: DataFrame) -> DataFrame:
-    """One stored row per distinct line: node, check, first occurrence and number of occurrences. No text
-    is shuffled."""
-    return pin(occurrences.groupBy("node", "check").agg(F.min(_first()).alias("first"), F.count("*").alias("times")))
+def line_counts(occurrences: DataFrame) -> DataFrame:
+    """node, check and number of occurrences of each distinct line. No text is shuffled."""
+    return occurrences.groupBy("node", "check").agg(F.count("*").alias("times"))
 
 
 def segment_bounds(length: np.ndarray, edits: int, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,18 +236,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """text_key, dropped (sorted line numbers, from 0) and class_docs (the documents of the first
     occurrences), for each document that loses lines; stored."""
     occurrences = line_occurrences(docs)
-    lines = distinct_lines(occurrences)
     shared = shared_buckets(segment_buckets(docs))
     texts = wanted_lines(docs, pin(shared.select("node").distinct()))
     roots = link_groups(shared, lambda pairs: close_lines(pairs, texts), texts, compare_blocks)
-    linked = lines.join(roots, "node", "left")
-    # lines that are alone and occur once keep their place without a look
-    alone = linked.filter("root IS NULL AND times > 1").select("node", "check", F.col("first").alias("stays"))
-    grouped = linked.filter("root IS NOT NULL")
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("stays"))
-    known = pin(grouped.join(firsts, "root").select("node", "check", "stays").unionByName(alone))
-    places = occurrences.join(known, ["node", "check"])
-    lost = places.filter(~_first().eqNullSafe(F.col("stays")))
+    # a line that is alone and occurs once keeps its place without a look; a line that is alone is its own root, and
+    # the check tells it from another line with the same number
+    grouped = line_counts(occurrences).join(roots, "node", "left").filter("root IS NOT NULL OR times > 1").select(
+        "node", "check", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("apart"))
+    places = pin(occurrences.join(grouped, ["node", "check"]))
+    firsts = places.groupBy("root", "apart").agg(F.min(_first()).alias("stays"))
+    lost = places.join(firsts, ["root", "apart"]).filter(~_first().eqNullSafe(F.col("stays")))
     return pin(lost.groupBy("text_key").agg(
         F.array_sort(F.collect_set("line_no")).alias("dropped"),
         F.array_sort(F.collect_set("stays.doc_id")).alias("class_docs")))
