@@ -37,17 +37,19 @@ TRAINED_ROLE = "assistant"
 
 _NAMES = {shown: role for role, shown in ROLES.items()}
 _HEADER = re.compile(r'### (System|User|Assistant|"(?:[^"\\]|\\.)*"):\n')
-_CONTROL = re.compile(r"(\\*)(###|</turn>)")
-_ESCAPED = re.compile(r"\\(\\*(?:###|</turn>))")
+#: A run of three hashes or more is one control string, as a backslash in front of it covers all of it.
+_CONTROL = re.compile(r"#{3,}|</turn>")
+_ESCAPED = re.compile(r"\\(?=###|</turn>)")
 _BARE_END = re.compile(r"(?<!\\)</turn>")
+_BARE_MARK = re.compile(r"(?<![\\#])###")
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(r"\\\1\2", text)
+    return _CONTROL.sub(r"\\\g<0>", text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub("", text)
 
 
 def render(role: str, text: str) -> str:
@@ -65,7 +67,7 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]] | None:
         if not end or formatted[end.start() - 1:end.end() + 1] != END or end.start() <= head.end():
             return None
         raw = formatted[head.end():end.start() - 1]
-        if re.search(r"(?<!\\)###", raw):
+        if _BARE_MARK.search(raw):
             return None
         shown = head.group(1)
         turns.append((_NAMES.get(shown) or json.loads(shown, strict=False), unescape(raw), head.end(), end.start() - 1))

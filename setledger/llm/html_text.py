@@ -39,6 +39,8 @@ SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "textarea
 CLOSED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "label"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Void elements that part the words before and after them.
+PARTING = {"br", "hr", "img"}
 BLOCKS = {"html", "body", "div", "section", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd",
           "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption",
           "address", "details", "summary", "fieldset", "hgroup"} | CLOSED | MAIN
@@ -51,11 +53,12 @@ BOILERPLATE = re.compile(
 #: A class name with one of these parts says how the page is laid out around such a block ("has-sidebar").
 LAYOUT = re.compile(r"(?:^|[-_])(?:has|have|no|non|not|with|without|hide|hides|show|shows|enable|enabled|disable|disabled|"
                     r"layout|fixed|sticky)(?:$|[-_])")
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: What stands in a tag after its name. Quotes count after an equals sign; nothing is given back, so a tag is read once.
+_ATTRIBUTES = r"(?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+"
 _PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:svg|template)(?:[\s/]" + _ATTRIBUTES + r")?(?<=/)>"
     r"|<(?P<skip>" + "|".join(SKIPPED) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>" + _ATTRIBUTES + r")(?:>|\Z)|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -69,12 +72,15 @@ def walk(page: str | None) -> Iterator[tuple[str, str | None]]:
     structural elements only, joined by slashes, and a change of it ends a block. A path that ends in
     ``!`` marks the end of an element."""
     stack: list[str] = []
-    path = ""
-    for piece in _PIECES.finditer(page or ""):
+    path, page = "", page or ""
+    tail = page.rfind(">") + 1  # no tag ends after it
+    for piece in _PIECES.finditer(page[:tail]):
         if (text := piece["text"]) is not None:
             yield path, text
             continue
         tag = piece["tag"] and piece["tag"].lower()
+        if tag in PARTING:
+            yield path, " "
         if not tag or tag not in BLOCKS:
             continue
         if piece["close"]:
@@ -92,6 +98,8 @@ def walk(page: str | None) -> Iterator[tuple[str, str | None]]:
             stack.append(f"{tag}.{named}" if named else tag)
         path = "/".join(stack)
         yield path if not piece["close"] else path + "!", None
+    if tail < len(page):
+        yield path, page[tail:]
 
 
 def is_boilerplate(tag: str, named: str) -> bool:

@@ -159,14 +159,16 @@ def single_words(keywords: Iterable[str]) -> tuple[str, ...]:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: base phrases, notices, identifiers, then families by template."""
+    """All rules in order: base phrases, notices, identifiers, then families by template. Each one begins and ends
+    at the edge of a word, so that no detection cuts a word in two."""
     edge, end = f"(?<!{_LETTER})", f"(?!{_LETTER})"
     made = [(label, tuple(phrase.split()), edge + _GAP.join(phrase.split()) + end, 50, 0.9, True)
             for phrase, label in BASE.items()]
-    made += [(label, single_words(keys), wrapped(pattern), priority, sure, False) for label, keys, pattern, priority, sure in NOTICES]
+    made += [(label, single_words(keys), edge + wrapped(pattern) + end, priority, sure, False)
+             for label, keys, pattern, priority, sure in NOTICES]
     for label in dict.fromkeys(f[0] for f in FAMILIES):
         made.append((label, ("spdx", label.split("-")[0]),
-                     rf"spdx-license-identifier:\s*{re.escape(label)}(?:-\d\.\d)?(?:-only|-or-later)?{end}", 45, 0.99, False))
+                     edge + rf"spdx-license-identifier:\s*{re.escape(label)}(?:-\d\.\d)?(?:-only|-or-later)?{end}", 45, 0.99, False))
     for around, key, priority, sure in TEMPLATES:
         for label, literal, name in FAMILIES:
             always = re.sub(r"\(\?:[^()]*\)\?", "", name)

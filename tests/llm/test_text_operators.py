@@ -1,7 +1,9 @@
 """The per-document operators: odd inputs, brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import re
+import time
 
 import duckdb
 import pytest
@@ -360,3 +362,65 @@ def test_line_numbers_are_the_engine_s(spark):
     text = "Éa line of text"
     mine = xxhash.xxh64_intdigest(text.encode(), 42)
     assert spark.range(1).select(F.xxhash64(F.lit(text))).first()[0] == mine - (mine >> 63 << 64)
+
+
+GLUE = ["", " ", "a", "Z", "7", "é", "©", "(", "-", "\n"]
+NOTICE_TEXTS = [
+    "permission is hereby granted, free of charge, to any person obtaining a copy", "is in the public domain",
+    "redistribution and use in source and binary forms", "as published by the free software foundation", "copyright 2020",
+    "© 2020", "copyright (c) 2021", "without prior written permission", "proprietary and confidential", "apache.org/licenses/license-2.0",
+    "spdx-license-identifier: mit", "licensed under the mit license", "cc by", "all rights reserved", "general public license"]
+
+
+def test_words_around_glued_notices():
+    """Every notice glued to letters, digits and signs: words and places as a plain count has them."""
+    base = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    for notice in NOTICE_TEXTS:
+        for before in GLUE:
+            for after in GLUE:
+                text = f"We put th{before}{notice}{after}x cc by{after} all"
+                words = [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())]
+                at = {label: [k for k in range(len(words)) if words[k:k + len(p.split())] == p.split()] for p, label in base.items()}
+                count, found = licenses.detect(text)
+                assert count == len(words), text
+                places = sorted(k for ks in at.values() for k in ks)
+                assert sorted(d.word for d in found if d.base) == places, text
+                assert {d.label for d in found if d.base} == {label for label, ks in at.items() if ks}
+                for d in found:
+                    assert not d.start or not re.match(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]{2}", text.lower()[d.start - 1:d.start + 1]), text
+
+
+def test_no_notice_inside_a_word():
+    assert {d.label for d in licenses.detect("We put this in the public domain. uncopyright 2020")[1]} == set()
+    assert {d.label for d in licenses.detect("It is in the public domain")[1]} == {"public-domain"}
+
+
+def test_inputs_of_a_million_characters():
+    """Each within a moment: what is read twice grows with the square."""
+    for text in ("\\" * 1_000_000, "\\" * 500_000 + "###", "#" * 1_000_000, "</turn>\\" * 100_000, "### " * 200_000):
+        began = time.perf_counter()
+        assert chat.unescape(chat.escape(text)) == text
+        shown = chat.render("user", chat.escape(text))
+        assert [(r, t) for r, t, _, _ in chat.parse(shown)] == [("user", text)]
+        assert time.perf_counter() - began < 5
+    for page in ("<a " * 300_000, '<a b="' * 150_000, "<a b='x\" " * 100_000, "<svg " * 200_000, "<script " * 100_000, "<!--" * 200_000,
+                 "<p" + "= " * 400_000 + ">", "<div>" * 2_000 + "x" * 900_000):
+        began = time.perf_counter()
+        assert html_text.main_text("<p>first</p>" + page, None).startswith("first")
+        assert time.perf_counter() - began < 5
+
+
+def test_every_short_text_of_marks_survives():
+    """All strings of the control characters up to six places, with and without other text around."""
+    for size in range(7):
+        for marks in itertools.product("#\\ ", repeat=size):
+            for around in ("{}", "a{}b", "</turn>{}", "{}</turn>"):
+                text = around.format("".join(marks))
+                shown = chat.render_checked("user", text)
+                assert [t[:2] for t in chat.parse(shown)] == [("user", text)]
+
+
+def test_breaks_part_words_and_broken_tags_stay():
+    page = '<p>one<br>two<hr/>three<img src=x>four <b title="a>b">five</b> <a title="x"">six</a> se<wbr>ven 1 < 2 <y and z'
+    assert html_text.main_text(page, None).split("\n")[0].startswith("one two")
+    assert " ".join(html_text.main_text(page, None).split()) == "one two three four five six seven 1 < 2 <y and z"
