@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+#: Paths handed out by ``scratch_path`` since the start or the last ``drop_scratch``.
+_scratch: list[str] = []
+
 
 def build_session(app: str = "setledger", cores: str | int | None = None,
                   shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -55,7 +58,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table that a job writes and reads back."""
-    return f"{shared_dir(spark).rstrip('/')}/setledger/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/setledger/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the tables that this process has stored under the shared folder, once a job has written its result;
+    returns how many paths there were. Frames that still read them must not be used any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _scratch:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    count = len(_scratch)
+    _scratch.clear()
+    return count
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import collections
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +121,20 @@ def test_hashed_vectors_find_their_own_text(spark, rows):
     queries = Z.hashed_vectors(rows("query_id bigint, query_text string", (7, "squat depth?")), model, "query_text", "query_vec")
     best = R.candidates(queries, vectors, 1).filter("candidate_rank = 1").first()
     assert best.chunk_key == 0
+
+
+def test_hashed_vectors_by_value(spark):
+    """Word counts times rarity at unit length, by hand, with the engine's own places of the words."""
+    texts = ["Squat squat depth", "bench depth", "", "Squat 5x5!", "row row row bench"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    model = Z.fit_hashed_vectorizer(docs, dim=64)
+    words = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    place = {w: model.stages[0].indexOf(w) for ws in words for w in ws}
+    held = collections.Counter(p for ws in words for p in {place[w] for w in ws})
+    got = {r.doc_id: r.embedding for r in Z.hashed_vectors(docs, model).collect()}
+    for k, ws in enumerate(words):
+        want = np.zeros(64)
+        for w in ws:
+            want[place[w]] += math.log((len(texts) + 1) / (held[place[w]] + 1))
+        length = np.linalg.norm(want)
+        assert np.allclose(got[k], want / length if length else want, atol=1e-12)
