@@ -124,6 +124,16 @@ def supervised_round_trip(spark, sf):
     return show(train.select("exercise", "sets", "reps", "weight", "date", "logged_at", S.TARGET, "model_group"))
 
 
+@query
+def training_tables(spark, sf):
+    """The three tables of a split as they are stored: all rows, the earlier and the later ones."""
+    folder = scratch_path(spark, "training")
+    tables.write_training_tables(_split(spark, sf), folder)
+    parts = [tables.read_supervised(spark, f"{folder}/{name}.parquet").select(F.lit(name).alias("part"), "exercise", "weight", "logged_at", S.TARGET)
+             for name in ("workouts", "train_workouts", "test_workouts")]
+    return show(parts[0].union(parts[1]).union(parts[2]))
+
+
 @query
 def raw_set_scan(spark, sf):
     """The text log through a CSV file: scan, parse, validate, collapse."""

@@ -228,6 +228,9 @@ add("chronological_split", f"SELECT exercise, {iso('logged_at')} AS logged_at, w
 add("chronological_split_users", f"SELECT user_id, exercise, {iso('logged_at')} AS logged_at, dataset FROM v_user_split ")
 add("supervised_round_trip", f"""SELECT exercise, sets, reps, weight, {day('date')} AS date, {iso('logged_at')} AS logged_at,
   actual_next_weight, {MODEL_GROUP} AS model_group FROM v_one_split WHERE dataset = 'train'""")
+add("training_tables", f"""SELECT part, exercise, weight, {iso('logged_at')} AS logged_at, actual_next_weight
+FROM v_one_split JOIN (VALUES ('workouts', 'train'), ('workouts', 'test'), ('train_workouts', 'train'), ('test_workouts', 'test')) AS p(part, held)
+  ON held = dataset""")
 add("exercise_class", f"""SELECT p_partkey, exercise, {INCREMENT_CLASS} AS increment_class, {MODEL_GROUP} AS model_group
 FROM part JOIN v_exercise ON ex_id = p_partkey % 12""")
 add("base_increment", f"SELECT row_id, exercise, weight, {BASE_STEP} AS base_increment FROM v_workouts ")
@@ -325,10 +328,10 @@ add("restored_groups", f"""SELECT w.row_id, exercise, used AS model_group, {r6('
   'current workout row|previous 3 same-exercise performances|' || used || ' XGBoost plus regressor' AS top_factors,
   'Predicted from the category-specific XGBoost plus model using current row features and available same-exercise history.' AS reason,
   'xgboost_plus_regressor' AS model_type, true AS gain_fits,
-  CAST({len(_NUMBERS)} + (SELECT count(DISTINCT exercise) + count(DISTINCT own) FROM v_log_routed WHERE dataset = 'train') AS INT) AS width,
+  CAST({len(_NUMBERS)} + (SELECT count(DISTINCT exercise) + count(DISTINCT {MODEL_GROUP}) FROM v_log_split ) AS INT) AS width,
   round_even(CAST({' + '.join(f'coalesce({c}, 0)' for c in _NUMBERS)} AS DOUBLE), 3) AS numbers,
-  CAST(exercise IN (SELECT exercise FROM v_log_routed WHERE dataset = 'train') AS INT)
-  + CAST(own IN (SELECT own FROM v_log_routed WHERE dataset = 'train') AS INT)::DOUBLE AS names
+  CAST(exercise IN (SELECT exercise FROM v_log_split ) AS INT)
+  + CAST(own IN (SELECT {MODEL_GROUP} FROM v_log_split ) AS INT)::DOUBLE AS names
 FROM v_log_routed w LEFT JOIN v_log_past ON v_log_past.row_id = w.row_id WHERE dataset = 'test'""")
 
 VIEWS["v_no_effort"] = "SELECT * REPLACE (CAST(NULL AS DOUBLE) AS rpe, CAST(NULL AS DOUBLE) AS rir) FROM v_workouts "
