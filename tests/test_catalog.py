@@ -9,7 +9,8 @@ import __spark_entry__ as spark_entry
 from compare import compare
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"grouped_predictions", "latest_predictions"}  # covered by test_learning
+SLOW = {"grouped_predictions", "latest_predictions", "learned_report",  # covered by test_learning
+        "stream_profiles_batches"}  # as stream_lift_state_batches
 
 
 @pytest.fixture(scope="module")
