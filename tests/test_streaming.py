@@ -114,3 +114,20 @@ def test_quota_state(spark, tmp_path):
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in stream_query.recentProgress]
     assert kept[-1] < max(kept)  # only the ninth day is left
     assert spark.conf.get(quota.PROVIDER_KEY, None) != quota.ROCKSDB
+
+
+def test_quota_state_answers_users_in_blocks(spark, tmp_path):
+    """Many users cost no state and no call each; the answers are those of the batch form, a missing user's too."""
+    data = [(i, None if i % 50 == 7 else 2**62 + i * 7919 % 1_500, DAY + dt.timedelta(seconds=i)) for i in range(6_000)]
+    schema = "event_id bigint, user_id bigint, ts timestamp_ntz"
+    stream = feed(spark, str(tmp_path / "in"), schema, [data[:4_000], data[3_900:]])
+    stream_query = quota.start_quota(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 3)
+    stream_query.awaitTermination()
+    # a value, and a timer with its index, for each block
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in stream_query.recentProgress) <= 3 * quota.BLOCKS
+    got = {(r.event_id, r.user_id, r.allowed, r.used) for r in quota.read_answers(spark, str(tmp_path / "out")).collect()}
+    want, used = set(), {}
+    for event, user, _ in data:
+        used[user] = used.get(user, 0) + 1
+        want.add((event, user, used[user] <= 3, min(used[user], 3)))
+    assert got == want
