@@ -138,3 +138,21 @@ def test_hashed_vectors_by_value(spark):
             want[place[w]] += math.log((len(texts) + 1) / (held[place[w]] + 1))
         length = np.linalg.norm(want)
         assert np.allclose(got[k], want / length if length else want, atol=1e-12)
+
+
+def test_texts_do_not_travel_with_candidates(spark, tables):
+    """Candidates are ranked without the chunks' texts, which meet the best few; weak texts still count."""
+    queries, vectors, *_ = tables
+    weak = F.col("chunk_key") % 2 == 0
+    chunks = vectors.select("chunk_key", F.lit("T").alias("title"), F.lit("x").alias("type"), F.lit("").alias("website"),
+                            F.when(weak, "Welcome back, all").otherwise(F.concat(F.lit("text "), "chunk_key")).alias("text"))
+    found = R.candidates(queries, vectors, 3)
+    got = R.rerank(found, queries, chunks, 3)
+    ranked = got._jdf.queryExecution().optimizedPlan().toString().rsplit("Window [row_number()", 2)[1]
+    assert not re.search(r"\btext#", ranked.split("Join")[0])
+    want, by_query = [], {}
+    for r in found.collect():
+        by_query.setdefault(r.query_id, []).append((0.08 * (r.chunk_key % 2 == 0) - r.embedding_score, r.candidate_rank, r.chunk_key))
+    for query, rows in by_query.items():
+        want += [(query, place, key, "Welcome back, all" if key % 2 == 0 else f"text {key}") for place, (*_, key) in enumerate(sorted(rows)[:3], 1)]
+    assert sorted((r.query_id, r["rank"], r.chunk_key, r.text) for r in got.collect()) == sorted(want)
