@@ -128,3 +128,10 @@ def test_histogram_matches_numpy(spark):
 def test_histogram_of_one_value(rows):
     df = rows(SCORES, ("A", 1.0, 3.0), ("A", 1.0, 3.0))
     assert [(r.bin, r.n) for r in evaluation.error_histogram(evaluation.error_columns(df)).collect()] == [(15, 2)]
+
+
+def test_split_is_found_once(spark):
+    """Who reads a part compares rows with a stored one: no day is ranked again."""
+    df = spark.createDataFrame([(DAY + dt.timedelta(hours=i), i) for i in range(50)], "logged_at timestamp_ntz, row_id int")
+    train = chronological_split(df, 0.8, ["logged_at", "row_id"]).filter("dataset = 'train'")
+    assert "row_number" not in train._jdf.queryExecution().optimizedPlan().toString() and train.count() == 40
